@@ -159,3 +159,8 @@ def all_in_range(df: DataFrame, columns: list[str], lo: float, hi: float, name:
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
+
+
+def column_residual_norm(df: DataFrame, columns: list[str], by: list[str] = (), name: str = "norm") -> DataFrame:
+    """Largest value over all rows and over the columns."""
+    return df.groupBy(*by).agg(F.greatest(*[F.max(nan_to_null(c)) for c in columns]).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairflow.functions import fixed
 from pairflow.functions.scalars import abs_error, format_score
 from pairflow.operators.aggregates import score_columns, value_counts
-from pairflow.operators.histograms import histogram_edges
+from pairflow.operators.histograms import histogram, histogram_edges
 from pairflow.operators.joins import join_left_keys
 from pairflow.operators.select import cast_numeric, drop_incomplete, filter_abs_below
 from pairflow.operators.sets import first_n_groups, union_tagged
@@ -81,3 +81,15 @@ def group_curves(
     """(group, x, truth, prediction) of the first n groups."""
     pred = [f"{t}_pred" for t in targets]
     return first_n_groups(df, keys, n).select(*keys, x, *targets, *pred).orderBy(*keys, x)
+
+
+def compare_fits(
+    polynomial: DataFrame, nrtl: DataFrame, column: str, limit: float, bins: int = 20, edges: list[float] | None = None
+) -> DataFrame:
+    """Histogram of the group errors of two models, errors from ``limit`` on left out.
+
+    Each model has its own equal-width bins, unless explicit edges are given.
+    """
+    both = union_tagged({"NRTL": nrtl.select(column), "Polynomial": polynomial.select(column)}, "model")
+    small = both.filter(F.col(column) < limit)
+    return histogram(small, column, bins, ["model"]) if edges is None else histogram_edges(small, column, edges, ["model"])

@@ -36,12 +36,15 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
     return _typed(raw, schema)
 
 
-def scan_csv_batches(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def scan_csv_batches(spark: SparkSession, paths: str | list[str], schema: T.StructType, one_layout: bool = False) -> DataFrame:
     """Concatenate CSV batches whose headers may differ, matching columns by name.
 
     Every distinct header is one scan; batches with the same header share it, so the
-    plan grows with the number of layouts and not with the number of files.
+    plan grows with the number of layouts and not with the number of files.  Finding
+    the headers reads the files once more; ``one_layout`` says they are all alike.
     """
+    if one_layout:
+        return scan_csv(spark, paths, schema)
     heads = (
         spark.read.text(paths)
         .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
