@@ -181,9 +181,10 @@ def _(t):
 
 
 @query("d15_histogram_2d", """
-WITH e AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh, min(l_discount) AS yl, max(l_discount) AS yh FROM lineitem),
-k AS (SELECT least(7, floor((l_quantity - xl) * 8 / (xh - xl)))::INTEGER AS bin_x,
-             least(4, floor((l_discount - yl) * 5.0::DOUBLE / (yh - yl)))::INTEGER AS bin_y FROM lineitem, e)
+WITH e AS (SELECT min(l_quantity) AS xl, (max(l_quantity) - min(l_quantity)) / 8.0::DOUBLE AS xs,
+                  min(l_discount) AS yl, (max(l_discount) - min(l_discount)) / 5.0::DOUBLE AS ys FROM lineitem),
+k AS (SELECT len(list_filter(range(1, 8), lambda k: l_quantity >= xl + k * xs))::INTEGER AS bin_x,
+             len(list_filter(range(1, 5), lambda k: l_discount >= yl + k * ys))::INTEGER AS bin_y FROM lineitem, e)
 SELECT bin_x, bin_y, count(*) AS n FROM k GROUP BY 1, 2""")
 def _(t):
     return h.histogram_2d(t.lineitem, "l_quantity", "l_discount", (8, 5))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from pairflow.functions.scalars import as_column, nan_to_num
+from pairflow.functions.scalars import as_column, finite
 
 
 def polynomial(x: Column | str, coefficients: list[Column | str]) -> Column:
@@ -31,10 +31,14 @@ def nrtl_ln_gamma(
     """
     a12, t12, t21, x1, x2 = map(as_column, (a12, t12, t21, x1, x2))
     a21 = a12 if a21 is None else as_column(a21)
-    g12, g21 = F.exp(-a12 * t12), F.exp(-a21 * t21)
+    return nrtl_from_factors(F.exp(-a12 * t12), F.exp(-a21 * t21), t12, t21, x1, x2)
+
+
+def nrtl_from_factors(g12: Column, g21: Column, t12: Column, t21: Column, x1: Column, x2: Column) -> tuple[Column, Column]:
+    """The same from the two exponential factors, for callers that stage them."""
     d1, d2 = x1 + x2 * g21, x2 + x1 * g12
     r1, r2 = F.try_divide(g21, d1), F.try_divide(g12, d2)
     ln_1 = x2 * x2 * (t21 * r1 * r1 + F.try_divide(t12 * g12, d2 * d2))
     ln_2 = x1 * x1 * (t12 * r2 * r2 + F.try_divide(t21 * g21, d1 * d1))
     known = x1.isNotNull() & x2.isNotNull()
-    return tuple(F.when(known, F.coalesce(nan_to_num(v), F.lit(0.0))) for v in (ln_1, ln_2))
+    return tuple(F.when(known, finite(F.coalesce(v, F.lit(0.0)))) for v in (ln_1, ln_2))

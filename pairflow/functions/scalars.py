@@ -53,12 +53,12 @@ def ln_value(c: Column | str) -> Column:
 def nan_to_num(c: Column | str) -> Column:
     """NaN becomes 0, infinities become the largest doubles, NULL stays NULL."""
     c = as_column(c)
-    return (
-        F.when(F.isnan(c), F.lit(0.0))
-        .when(c == F.lit(float("inf")), F.lit(MAX_DOUBLE))
-        .when(c == F.lit(float("-inf")), F.lit(-MAX_DOUBLE))
-        .otherwise(c)
-    )
+    return F.when(c.isNotNull(), finite(c))
+
+
+def finite(c: Column) -> Column:
+    """``nan_to_num`` of a value known not to be NULL; mentions it only once."""
+    return F.greatest(F.lit(-MAX_DOUBLE), F.least(F.lit(MAX_DOUBLE), F.nanvl(c, F.lit(0.0))))
 
 
 def round4(c: Column | str) -> Column:

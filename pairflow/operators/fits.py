@@ -12,7 +12,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairflow.functions import fixed
-from pairflow.functions.models import nrtl_ln_gamma, polynomial
+from pairflow.functions.models import nrtl_from_factors, nrtl_ln_gamma, polynomial
 from pairflow.functions.scalars import abs_error, nan_to_null
 from pairflow.schema import COMPOSITION, GROUP_KEYS, TARGETS, coefficient_names
 
@@ -271,29 +271,40 @@ def _objective(i1: tuple[str, str, str], prediction: Column) -> Column:
 
 
 def _best(
-    levels: DataFrame, keys: list[str], x: str, n_points: int, parameters: dict[str, Column], objective: str, carry: list[str]
+    levels: DataFrame, keys: list[str], x: str, n_points: int, parameters: dict[str, Column], objective: str
 ) -> DataFrame:
-    """Best grid point per group.
+    """Best grid point per group: ``(keys, grid, cost)``.
 
     Levels are copied once per block of grid points and partitioned on (group,
     block); points are spread out and summed within the task, so only one winner per
     (group, block) is shuffled, and a group of very many levels still runs in as
-    many tasks as there are blocks.
+    many tasks as there are blocks.  Every intermediate is its own projection, which
+    keeps the generated code small enough to be compiled.
     """
-    size = -(-n_points // GRID_BLOCKS)
-    blocks = levels.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1))))
+    blocks_used = min(GRID_BLOCKS, n_points)
+    size = -(-n_points // blocks_used)
+    blocks = levels.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks_used - 1))))
     blocks = blocks.repartition(*keys, "__block")
     first = F.col("__block") * F.lit(size)
     points = blocks.withColumn("grid", F.explode(F.sequence(first, first + F.lit(size - 1)))).filter(F.col("grid") < n_points)
     points = points.withColumns(parameters)
-    f1, f2 = nrtl_ln_gamma("a12", "t12", "t21", x, F.lit(1.0) - F.col(x), a21="a21")
+    points = points.withColumns(
+        {
+            "__g12": F.exp(-F.col("a12") * F.col("t12")),
+            "__g21": F.exp(-F.col("a21") * F.col("t21")),
+            "__x2": F.lit(1.0) - F.col(x),
+        }
+    )
+    f1, f2 = nrtl_from_factors(*(F.col(c) for c in ("__g12", "__g21", "t12", "t21", x, "__x2")))
+    points = points.withColumns({"__f1": f1, "__f2": f2})
     if objective == "stacked":
-        cost = _objective(("n_0", "mean_0", "ss_0"), f1) + _objective(("n_1", "mean_1", "ss_1"), f2)
+        cost = _objective(("n_0", "mean_0", "ss_0"), F.col("__f1")) + _objective(("n_1", "mean_1", "ss_1"), F.col("__f2"))
     else:
-        cost = _objective(("n_2", "mean_2", "ss_2"), f1 + f2)
-    summed = points.groupBy(*keys, "__block", "grid", *NRTL_PARAMETERS, *carry).agg(F.sum(cost).alias("__cost"))
-    ranked = F.struct(F.round("__cost", 9).alias("cost"), "grid", *NRTL_PARAMETERS, *carry)
-    return summed.groupBy(*keys).agg(F.min(ranked).alias("__best")).select(*keys, "__best.*")
+        cost = _objective(("n_2", "mean_2", "ss_2"), F.col("__f1") + F.col("__f2"))
+    summed = points.groupBy(*keys, "__block", "grid").agg(F.sum(cost).alias("cost"))
+    rank = F.rint(F.col("cost") * F.lit(1e9))
+    ranked = F.struct(rank.alias("rank"), "grid", "cost")
+    return summed.groupBy(*keys).agg(F.min(ranked).alias("__best")).select(*keys, "__best.grid", "__best.cost")
 
 
 def fit_nrtl_grid(
@@ -326,19 +337,13 @@ def fit_nrtl_grid(
     if single_alpha:
         i_a21 = i_a12
     alpha_gap, tau_gap = _half_gap(alpha_axis, fixed.ALPHA_BOUNDS), _half_gap(tau_axis, fixed.TAU_BOUNDS)
-    best = _best(
-        levels, keys, x, n_points,
-        {"a12": _at(alpha_axis, i_a12), "a21": _at(alpha_axis, i_a21), "t12": _at(tau_axis, i_t12), "t21": _at(tau_axis, i_t21)},
-        objective, [],
-    )
-    best = best.withColumns(
-        {
-            "h_a12": _at(alpha_gap, _digit(F.col("grid"), nt * nt * a21_size, na)),
-            "h_a21": _at(alpha_gap, _digit(F.col("grid"), nt * nt * (1 if not single_alpha else a21_size), na)),
-            "h_t12": _at(tau_gap, _digit(F.col("grid"), nt, nt)),
-            "h_t21": _at(tau_gap, _digit(F.col("grid"), 1, nt)),
-        }
-    )
+    parameters = {
+        "a12": _at(alpha_axis, i_a12), "a21": _at(alpha_axis, i_a21), "t12": _at(tau_axis, i_t12), "t21": _at(tau_axis, i_t21),
+    }
+    steps = {
+        "h_a12": _at(alpha_gap, i_a12), "h_a21": _at(alpha_gap, i_a21), "h_t12": _at(tau_gap, i_t12), "h_t21": _at(tau_gap, i_t21),
+    }
+    best = _best(levels, keys, x, n_points, parameters, objective).withColumns(parameters | steps)
     for _ in range(refinements):
         best = _refine(levels, best, keys, x, objective, single_alpha)
     return best.select(*keys, *NRTL_PARAMETERS, F.col("cost").alias("objective"))
@@ -359,8 +364,9 @@ def _refine(levels: DataFrame, best: DataFrame, keys: list[str], x: str, objecti
         lo, hi = fixed.ALPHA_BOUNDS if p.startswith("a") else fixed.TAU_BOUNDS
         moved = F.col(centre[p]) + F.col(steps[p]) * _at(REFINE_STEPS, _digit(F.col("grid"), bases[p], s))
         parameters[p] = F.greatest(F.lit(lo), F.least(F.lit(hi), moved))
-    found = _best(levels.join(around, keys), keys, x, n_points, parameters, objective, list(steps.values()))
-    return found.withColumns({h: F.col(h) * F.lit(0.5) for h in steps.values()})
+    found = _best(levels.join(around, keys), keys, x, n_points, parameters, objective)
+    placed = found.join(around, keys).withColumns(parameters)
+    return placed.withColumns({h: F.col(h) * F.lit(0.5) for h in steps.values()}).drop(*centre.values())
 
 
 def evaluate_nrtl(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pairflow.functions.scalars import nan_to_null
 from pairflow.schema import GROUP_KEYS, ROW_ID
+from pairflow.session import ensure_checkpoint_dir
 
 
 def apply_per_group(
@@ -21,38 +24,54 @@ def apply_per_group(
     """Call ``fn(key, rows)`` on every group; returns rows, outputs, status, error.
 
     ``fn`` predicts each row from the key and that row's conditions, and returns one
-    output row per input row in the same order.  It is handed at most about
-    ``max_rows`` rows of a group at a time, so that no group has to fit in one task.
-    An exception or a short result fails the whole group: all of its rows come back
-    with NULL outputs, ``status`` "error" or "incomplete", and the message.
+    output row per input row in the same order.  It is handed at most ``max_rows``
+    rows of a group at a time, so that no group has to fit in one task.  An exception
+    or a short result fails the whole group: all of its rows come back with NULL
+    outputs, ``status`` "error" or "incomplete", and the message.
+
+    The outcome is checkpointed, so that ``fn`` runs once per row although failures
+    are then looked up across the parts of a group.
     """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).alias("__parts"))
-    parted = df.join(sizes, keys).withColumn(
-        "__part", F.pmod(F.xxhash64(row_id), F.col("__parts")).cast("int")
-    ).drop("__parts")
-    columns = df.columns
+    part = F.pmod(F.xxhash64(row_id), F.col("__parts")).cast("int")
+    parted = df.join(sizes, keys).withColumn("__part", part).drop("__parts")
+    # A fixed number of partitions: small ones would be merged, and Python is slow.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gathered = parted.repartition(n, *keys, "__part").sortWithinPartitions(*keys, "__part").select(df.columns)
     schema = T.StructType(
         list(df.schema.fields)
         + [T.StructField(c, T.DoubleType()) for c in outputs]
         + [T.StructField("status", T.StringType()), T.StructField("error", T.StringType())]
     )
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[columns].reset_index(drop=True)
-        status, error, found = "ok", None, None
+    def attempt(key: tuple, rows: pd.DataFrame) -> tuple[pd.DataFrame | None, str, str | None]:
         try:
-            found = fn(key[:-1], rows)
-            if len(found) < len(rows):
-                status, error, found = "incomplete", f"{len(found)} of {len(rows)} rows", None
+            found = fn(key, rows)
         except Exception as e:  # the message is the result
-            status, error = "error", f"{type(e).__name__}: {e}"
-        for c in outputs:
-            rows[c] = None if found is None else pd.Series(found[c]).reset_index(drop=True)
-        rows[outputs] = rows[outputs].astype(float)
-        rows["status"], rows["error"] = status, error
-        return rows
+            return None, "error", f"{type(e).__name__}: {e}"
+        if len(found) < len(rows):
+            return None, "incomplete", "fewer results than rows"
+        return found, "ok", None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = {c: np.full(len(batch), np.nan) for c in outputs}
+            status = np.full(len(batch), "ok", dtype=object)
+            error = np.full(len(batch), None, dtype=object)
+            for key, at in batch.groupby(keys, sort=False, dropna=False).indices.items():
+                for start in range(0, len(at), max_rows):
+                    piece = at[start : start + max_rows]
+                    key = key if isinstance(key, tuple) else (key,)
+                    found, status[piece], error[piece] = attempt(key, batch.iloc[piece].reset_index(drop=True))
+                    if found is not None:
+                        for c in outputs:
+                            values[c][piece] = np.asarray(found[c], dtype=float)[: len(piece)]
+            yield batch.assign(**values, status=status, error=error)
 
-    results = parted.groupBy(*keys, "__part").applyInPandas(run, schema)
+    results = gathered.mapInPandas(run, schema)
+    results = results.withColumns({c: nan_to_null(c) for c in outputs}).checkpoint()
     return _fail_whole_groups(results, keys, outputs)
 
 
@@ -60,7 +79,7 @@ def _fail_whole_groups(results: DataFrame, keys: list[str], outputs: list[str])
     failed = (
         results.filter(F.col("status") != "ok")
         .groupBy(*keys)
-        .agg(F.min("status").alias("__status"), F.min("error").alias("__error"))
+        .agg(F.max("status").alias("__status"), F.min("error").alias("__error"))
     )
     joined = results.join(failed, keys, "left")
     bad = F.col("__status").isNotNull()
