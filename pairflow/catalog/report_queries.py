@@ -72,7 +72,7 @@ def _(t):
 
 @query("k6_embedding_scatter")
 def _(t):
-    scores = pca_scores(t.embeddings, "embedding", 64)
+    scores = pca_scores(t.embeddings, "embedding")
     return k.embedding_scatter(scores, "label", 5, ["vec_id", "PC1", "PC2"])
 
 

@@ -128,7 +128,7 @@ SELECT row_id, temperature_k, x1, round(1 - x1, 4) + 0.0 AS x2,
        round(ln_gamma_1, 6) + 0.0 AS ln_gamma_1, round(ln_gamma_2, 6) + 0.0 AS ln_gamma_2 FROM obs""")
 def _(t):
     lines = format_blocks(obs(t)).select("row_id", text_lines("text").alias("lines"))
-    parsed = lines.select("row_id", *extract_block("lines"))
+    parsed = extract_block(lines, "lines")
     return parsed.select(
         "row_id", "temperature_k", "x1", rounded("x2", 4).alias("x2"), rounded("ln_gamma_1").alias("ln_gamma_1"),
         rounded("ln_gamma_2").alias("ln_gamma_2"),

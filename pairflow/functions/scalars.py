@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -21,6 +22,15 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda evaluates what it captures anew for every element; a bound value is a
+    lambda variable and is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_true(predicate: Column) -> Column:
     """Predicate with NULL read as false."""
     return F.coalesce(predicate, F.lit(False))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairflow.functions import fixed
-from pairflow.functions.scalars import as_column
+from pairflow.functions.scalars import as_column, bind
 
 
 def base_name(path: Column | str) -> Column:
@@ -26,43 +26,45 @@ def text_lines(text: Column | str) -> Column:
 
 def chunk_lines(lines: Column | str, size: int = fixed.LINES_PER_BLOCK) -> Column:
     """Array of whole chunks of ``size`` lines; an incomplete tail is ignored."""
-    lines = as_column(lines)
-    n = F.floor(F.size(lines) / F.lit(size)).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.slice(lines, k * size + 1, F.lit(size)))
 
+    def chunks(ls: Column) -> Column:
+        n = F.floor(F.size(ls) / F.lit(size)).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.slice(ls, k * size + 1, F.lit(size)))
 
-def _find(line: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, 0), F.lit(""))
+    return bind(as_column(lines), chunks)
 
 
-def extract_block(block: Column | str, strict: bool = True) -> list[Column]:
-    """Condition and targets of one block.
+def block_fields(block: Column | str) -> list[Column]:
+    """The matched text of each field of one block; "" where there is no match."""
+    block = as_column(block)
+    condition = F.element_at(block, fixed.CONDITION_LINE)
+    found = [
+        ("temperature_k", condition, fixed.TEMPERATURE_PATTERN),
+        ("x1", condition, fixed.COMPOSITION_1_PATTERN),
+        ("x2", condition, fixed.COMPOSITION_2_PATTERN),
+        ("ln_gamma_1", F.element_at(block, fixed.TARGET_LINES[0]), fixed.TARGET_PATTERN),
+        ("ln_gamma_2", F.element_at(block, fixed.TARGET_LINES[1]), fixed.TARGET_PATTERN),
+    ]
+    return [F.regexp_extract(line, pattern, 0).alias(name) for name, line, pattern in found]
+
+
+def extract_block(df: DataFrame, block: str, strict: bool = True) -> DataFrame:
+    """Replace a block column by its condition and targets.
 
     A missing composition reads as 0.0.  A missing temperature raises when
     ``strict``, and is NULL otherwise.
     """
-    block = as_column(block)
-    condition = F.element_at(block, fixed.CONDITION_LINE)
-    t = _find(condition, fixed.TEMPERATURE_PATTERN)
+    rest = [c for c in df.columns if c != block]
+    # A projection of its own, so that every pattern is matched once.
+    texts = df.select(*rest, F.element_at(block, fixed.CONDITION_LINE).alias("__line"), *block_fields(block))
+    t = F.col("temperature_k").try_cast("double")
     if strict:
-        complaint = F.concat(F.lit("No temperature found: "), condition)
-        t = F.when(t.isNull(), F.raise_error(complaint).cast("string")).otherwise(t)
-    x1, x2 = (
-        F.coalesce(_find(condition, p).try_cast("double"), F.lit(0.0))
-        for p in (fixed.COMPOSITION_1_PATTERN, fixed.COMPOSITION_2_PATTERN)
-    )
-    g1, g2 = (
-        _find(F.element_at(block, k), fixed.TARGET_PATTERN).try_cast("double")
-        for k in fixed.TARGET_LINES
-    )
-    return [
-        t.try_cast("double").alias("temperature_k"),
-        x1.alias("x1"),
-        x2.alias("x2"),
-        g1.alias("ln_gamma_1"),
-        g2.alias("ln_gamma_2"),
-    ]
+        complaint = F.raise_error(F.concat(F.lit("No temperature found: "), F.col("__line"))).cast("double")
+        t = F.when(F.col("temperature_k") == "", complaint).otherwise(t)
+    fraction = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in ("x1", "x2")}
+    target = {c: F.col(c).try_cast("double") for c in ("ln_gamma_1", "ln_gamma_2")}
+    return texts.withColumns({"temperature_k": t} | fraction | target).drop("__line")
 
 
 def extract_names(lines: Column | str) -> tuple[Column, Column]:

@@ -9,10 +9,6 @@ from pairflow.functions.scalars import mixture_key
 from pairflow.functions.text import base_name, chunk_lines, extract_block, extract_names, split_ids, text_lines
 from pairflow.schema import COMPOSITION, ENTITY_COLUMNS, TARGETS, TEMPERATURE
 
-PARSED_COLUMNS = [
-    "id_1", "id_2", "names_1", "names_2", "block", "temperature_k", "x1", "x2", "ln_gamma_1", "ln_gamma_2",
-]
-
 
 def parse_blocks(files: DataFrame, path: Column | str = "path", text: str = "text", strict: bool = True, carry: list[str] = ()) -> DataFrame:
     """One row per 8-line block of each (path, text) row."""
@@ -23,7 +19,7 @@ def parse_blocks(files: DataFrame, path: Column | str = "path", text: str = "tex
         *carry, "id_1", "id_2", name_1.alias("names_1"), name_2.alias("names_2"),
         F.posexplode(chunk_lines("__lines")).alias("block", "__block"),
     )
-    return blocks.select(*carry, "id_1", "id_2", "names_1", "names_2", "block", *extract_block("__block", strict))
+    return extract_block(blocks, "__block", strict)
 
 
 def _whole_files(reader, path: str) -> DataFrame:
