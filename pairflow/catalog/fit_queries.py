@@ -224,14 +224,18 @@ def _(t):
     return out.filter("n > 0").select("model", "bin", "n")
 
 
-def _margules(key, rows: pd.DataFrame) -> pd.DataFrame:
+def outside_predictor():
     """A stand-in for an outside predictor, which fails for some pairs."""
-    m1, m2, temperature = key
-    if m1 == m2:
-        raise ValueError("identical entities")
-    a = 0.05 * (m1 - m2) + 0.001 * (temperature - 1990.0)
-    out = pd.DataFrame({"ln_gamma_1_pred": a * (1 - rows["x1"]) ** 2, "ln_gamma_2_pred": a * rows["x1"] ** 2})
-    return out.iloc[:-1] if m1 % 7 == 3 else out
+
+    def predict(key, rows: pd.DataFrame) -> pd.DataFrame:
+        m1, m2, temperature = key
+        if m1 == m2:
+            raise ValueError("identical entities")
+        a = 0.05 * (m1 - m2) + 0.001 * (temperature - 1990.0)
+        out = pd.DataFrame({"ln_gamma_1_pred": a * (1 - rows["x1"]) ** 2, "ln_gamma_2_pred": a * rows["x1"] ** 2})
+        return out.iloc[:-1] if m1 % 7 == 3 else out
+
+    return predict
 
 
 @query("i8_apply_per_group", f"""
@@ -241,7 +245,7 @@ SELECT row_id, status, CASE WHEN status = 'ok' THEN round(a * pow(1 - x1, 2), 6)
        CASE WHEN status = 'ok' THEN round(a * pow(x1, 2), 6) + 0.0 END AS ln_gamma_2_pred FROM p""")
 def _(t):
     names = ["ln_gamma_1_pred", "ln_gamma_2_pred"]
-    out = apply_per_group(obs(t).select("row_id", *GROUP_KEYS, "x1"), GROUP_KEYS, _margules, names)
+    out = apply_per_group(obs(t).select("row_id", *GROUP_KEYS, "x1"), GROUP_KEYS, outside_predictor(), names)
     return round_columns(out.select("row_id", "status", *names), names)
 
 

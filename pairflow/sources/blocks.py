@@ -27,14 +27,20 @@ def _whole_files(reader, path: str) -> DataFrame:
     return reader.format("text").option("wholetext", "true").load(path)
 
 
+def _decoded(c: Column) -> Column:
+    """Undo the percent escapes of a path, where a plus sign is just that."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def _addressed(df: DataFrame, ids: str) -> DataFrame:
     """Attach the path that carries the two ids: the file's or its folder's name."""
     path = F.col("_metadata.file_path")
     if ids == "folder":
+        # Writers escape a folder's value, and the path is escaped once more.
         folder = F.element_at(F.split(path, "/"), -2)
-        path = F.regexp_replace(folder, r"^[^=]*=", "")
+        path = F.regexp_replace(_decoded(_decoded(folder)), r"^[^=]*=", "")
     elif ids == "file":
-        path = base_name(path)
+        path = _decoded(base_name(path))
     else:
         raise ValueError(f"ids are in the 'file' or 'folder' name, not {ids!r}")
     return df.select(path.alias("path"), F.col("value").alias("text"))
