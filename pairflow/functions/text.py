@@ -21,7 +21,8 @@ def split_ids(path: Column | str) -> tuple[Column, Column]:
 
 def text_lines(text: Column | str) -> Column:
     """Lines of a text; a final line break does not open another line."""
-    return F.split(F.regexp_replace(as_column(text), r"\r?\n$", ""), r"\r?\n")
+    plain = F.replace(as_column(text), F.lit("\r\n"), F.lit("\n"))
+    return bind(plain, lambda t: F.split(F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t), "\n"))
 
 
 def chunk_lines(lines: Column | str, size: int = fixed.LINES_PER_BLOCK) -> Column:

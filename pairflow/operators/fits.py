@@ -15,6 +15,7 @@ from pairflow.functions import fixed
 from pairflow.functions.models import nrtl_from_factors, nrtl_ln_gamma, polynomial
 from pairflow.functions.scalars import abs_error, nan_to_null
 from pairflow.schema import COMPOSITION, GROUP_KEYS, TARGETS, coefficient_names
+from pairflow.session import ensure_checkpoint_dir
 
 
 def level_statistics(
@@ -328,6 +329,9 @@ def fit_nrtl_grid(
         raise ValueError(f"unknown objective {objective!r}")
     y1, y2 = targets
     levels = level_statistics(df, keys, x, {"1": y1, "2": y2, "sum": F.col(y1) + F.col(y2)})
+    if refinements:  # read again by every round
+        ensure_checkpoint_dir(df.sparkSession)
+        levels = levels.checkpoint()
     na, nt = len(alpha_axis), len(tau_axis)
     grid = F.col("grid")
     a21_size = 1 if single_alpha else na

@@ -8,6 +8,7 @@ for a side measured at run time, else it sort-merges and splits skewed partition
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -163,6 +164,11 @@ def pairs_across(
     return df.filter(across).select(original)
 
 
+# Pairs one task of ``all_pairs`` should put out, and the most tasks it may use.
+PAIRS_PER_TASK = 1_000_000
+MOST_TASKS = 20_000
+
+
 def all_pairs(
     df: DataFrame,
     order: list[str],
@@ -175,16 +181,18 @@ def all_pairs(
     Entities get a dense index and are cut into blocks; every unordered block pair
     is one join key, shared by at most ``block`` rows on each side.  So the work is
     an evenly spread equi-join which moves ``n*n/block`` entity rows, not the pairs.
+    The tasks are set by the number of pairs, which the size of the input hides.
     """
+    spark = df.sparkSession
     indexed = row_index(df.select(*dict.fromkeys([*order, *columns])), order, name="__i")
-    n = indexed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    entities = indexed.select("__i", *columns, n.alias("__n")).withColumn(
-        "__b", F.floor(F.col("__i") / F.lit(block)).cast("long")
-    )
-    last = F.floor((F.col("__n") - 1) / F.lit(block)).cast("long")
+    n = indexed.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, n * n // 2 // PAIRS_PER_TASK))
+    # At least some four block pairs per task, for balance.
+    block = max(1, min(block, n // max(1, isqrt(8 * tasks))))
+    entities = indexed.select("__i", *columns, F.floor(F.col("__i") / F.lit(block)).cast("long").alias("__b"))
+    last = F.lit(max(0, (n - 1) // block)).cast("long")
     left = entities.select(
         F.col("__i").alias("i"),
-        F.col("__n"),
         *[F.col(c).alias(c + suffixes[0]) for c in columns],
         F.col("__b").alias("__b1"),
         F.explode(F.sequence("__b", last)).alias("__b2"),
@@ -195,9 +203,10 @@ def all_pairs(
         F.col("__b").alias("__b2"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("__b"))).alias("__b1"),
     )
-    pairs = left.join(right, ["__b1", "__b2"]).filter(F.col("i") < F.col("j"))
+    spread = [side.repartition(tasks, "__b1", "__b2") for side in (left, right)]
     i, j = F.col("i"), F.col("j")
-    before = F.shiftright(i * (2 * F.col("__n") - i - 1), 1)
+    pairs = spread[0].join(spread[1].hint("shuffle_hash"), ["__b1", "__b2"]).filter(i < j)
+    before = F.shiftright(i * (F.lit(2 * n) - i - 1), 1)
     return pairs.select(
         (before + (j - i - 1)).alias("pair_index"),
         "i",
