@@ -88,9 +88,9 @@ def _score_sql(places, select="", tail="", fn="round"):
     return f"WITH {OBS}, {PREDICTED}, s AS (SELECT {select} {SCORES} FROM pred {tail}) SELECT * EXCLUDE (rmse1, rmse2, mae1, mae2, r21, r22), {columns} FROM s"
 
 
-@query("d6_regression_scores", _score_sql(6))
+@query("d6_regression_scores", _score_sql(9))
 def _(t):
-    return round_columns(d.regression_scores(predicted(t)), NAMES)
+    return round_columns(d.regression_scores(predicted(t)), NAMES, 9)
 
 
 @query("d7_scores_by_holdout", _score_sql(4, "holdout_set, model_name,", "GROUP BY 1, 2", "round_even"))
@@ -98,10 +98,10 @@ def _(t):
     return d.scores_by_holdout(predicted(t))
 
 
-@query("d8_mae", f"WITH {OBS}, {PREDICTED} SELECT m1, round(avg(abs(ln_gamma_1 - p1)), 6) AS e1, round(avg(abs(ln_gamma_2 - p2)), 6) AS e2 FROM pred GROUP BY 1")
+@query("d8_mae", f"WITH {OBS}, {PREDICTED} SELECT m1, round(avg(abs(ln_gamma_1 - p1)), 9) AS e1, round(avg(abs(ln_gamma_2 - p2)), 9) AS e2 FROM pred GROUP BY 1")
 def _(t):
     pairs = {"e1": ("ln_gamma_1", "ln_gamma_1_pred"), "e2": ("ln_gamma_2", "ln_gamma_2_pred")}
-    return round_columns(d.mae(predicted(t), pairs, ["m1"]), ["e1", "e2"])
+    return round_columns(d.mae(predicted(t), pairs, ["m1"]), ["e1", "e2"], 9)
 
 
 @query("d9_low_cardinality_profile", """

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairflow.functions import fixed
 from pairflow.functions.scalars import abs_error, all_of, in_range, is_true, nan_to_null, round4
 from pairflow.operators.ordering import first_per_key
+from pairflow.operators.sizing import measured
 from pairflow.schema import GROUP_KEYS, TARGETS
 
 
@@ -33,8 +34,8 @@ def group_mean(df: DataFrame, keys: list[str] = GROUP_KEYS, columns: list[str] |
 def limit_groups(df: DataFrame, keys: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Keep whole groups whose every target lies in its half-open range.
 
-    The surviving keys are aggregated on the map side and joined back; an empty
-    outcome is an empty table.
+    The surviving keys are aggregated on the map side and joined back, by broadcast
+    if they turn out small; an empty outcome is an empty table.
     """
     inside = all_of([in_range(c, lo, hi) for c, (lo, hi) in bounds.items()])
     good = (
@@ -44,7 +45,7 @@ def limit_groups(df: DataFrame, keys: list[str], bounds: dict[str, tuple[float,
         .filter("__good")
         .select(*keys)
     )
-    return df.join(good, keys, "left_semi")
+    return df.join(measured(good), keys, "left_semi")
 
 
 def group_sizes(df: DataFrame, keys: list[str] = GROUP_KEYS, n: int = fixed.MIN_GROUP_ROWS) -> DataFrame:
@@ -55,7 +56,8 @@ def group_sizes(df: DataFrame, keys: list[str] = GROUP_KEYS, n: int = fixed.MIN_
 
 def min_group_size(df: DataFrame, keys: list[str] = GROUP_KEYS, n: int = fixed.MIN_GROUP_ROWS) -> DataFrame:
     """Drop groups of fewer than n rows."""
-    return df.join(group_sizes(df, keys, n).filter(~F.col("skipped")).select(*keys), keys, "left_semi")
+    enough = group_sizes(df, keys, n).filter(~F.col("skipped")).select(*keys)
+    return df.join(measured(enough), keys, "left_semi")
 
 
 def score_columns(targets: list[str] = TARGETS, suffix: str = "_pred") -> list[Column]:

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairflow.functions import fixed
 from pairflow.functions.models import nrtl_from_factors, nrtl_ln_gamma, polynomial
 from pairflow.functions.scalars import abs_error, nan_to_null
+from pairflow.operators.sizing import measured
 from pairflow.schema import COMPOSITION, GROUP_KEYS, TARGETS, coefficient_names
 from pairflow.session import ensure_checkpoint_dir
 
@@ -53,37 +56,36 @@ def _moments(degree: int, n_targets: int, u: Column) -> list[Column]:
     return out
 
 
-def _solve(df: DataFrame, degree: int, n_targets: int) -> DataFrame:
-    """Solve the symmetric normal equations of each row by staged elimination.
+def _solver(degree: int):
+    """Arrow-batched solution of the normal equations, all rows of a batch at once.
 
-    Each stage is its own projection, so an entry is computed once, and all targets
-    advance together.  The result is ``__b{i}_{j}``.
+    As one expression the elimination outgrows what the JVM compiles, and then costs
+    far more than handing 3 * degree + 2 doubles per group to numpy.
     """
     m = degree + 1
-    a = {(i, r, c): f"__s{i}_{r + c}" for i in range(n_targets) for r in range(m) for c in range(r, m)}
-    b = {(i, r): f"__t{i}_{r}" for i in range(n_targets) for r in range(m)}
-    for k in range(m - 1):
-        new, renamed_a, renamed_b = {}, {}, {}
-        for i in range(n_targets):
-            for r in range(k + 1, m):
-                factor = F.try_divide(F.col(a[i, k, r]), F.col(a[i, k, k]))
-                for c in range(r, m):
-                    renamed_a[i, r, c] = f"__a{i}_{k}_{r}_{c}"
-                    new[renamed_a[i, r, c]] = F.col(a[i, r, c]) - factor * F.col(a[i, k, c])
-                renamed_b[i, r] = f"__r{i}_{k}_{r}"
-                new[renamed_b[i, r]] = F.col(b[i, r]) - factor * F.col(b[i, k])
-        df = df.withColumns(new)
-        a.update(renamed_a)
-        b.update(renamed_b)
-    for r in reversed(range(m)):
-        new = {}
-        for i in range(n_targets):
-            rest = F.col(b[i, r])
-            for c in range(r + 1, m):
-                rest = rest - F.col(a[i, r, c]) * F.col(f"__b{i}_{c}")
-            new[f"__b{i}_{r}"] = F.try_divide(rest, F.col(a[i, r, r]))
-        df = df.withColumns(new)
-    return df
+
+    def solve(*columns: pd.Series) -> pd.DataFrame:
+        sums = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        s, b = sums[:, : 2 * m - 1], sums[:, 2 * m - 1 :].copy()
+        a = np.stack([s[:, r : r + m] for r in range(m)], axis=1)
+        with np.errstate(all="ignore"):  # singular rows are told apart by their status
+            for k in range(m - 1):
+                factor = a[:, k + 1 :, k] / a[:, k, k][:, None]
+                a[:, k + 1 :] -= factor[:, :, None] * a[:, k][:, None, :]
+                b[:, k + 1 :] -= factor * b[:, k][:, None]
+            for r in reversed(range(m)):
+                known = (a[:, r, r + 1 :] * b[:, r + 1 :]).sum(axis=1)
+                b[:, r] = (b[:, r] - known) / a[:, r, r]
+        return pd.DataFrame({f"b{j}": b[:, j] for j in range(m)})
+
+    return F.pandas_udf(solve, ", ".join(f"b{j} double" for j in range(m)))
+
+
+def _solve(df: DataFrame, degree: int, n_targets: int) -> DataFrame:
+    """Solve the normal equations of every target; the result is ``__b{i}.b{j}``."""
+    solve = _solver(degree)
+    names = lambda i: [f"__s{i}_{k}" for k in range(2 * degree + 1)] + [f"__t{i}_{k}" for k in range(degree + 1)]
+    return df.withColumns({f"__b{i}": solve(*names(i)) for i in range(n_targets)})
 
 
 def _expand(b: list[Column], scale: float, shift: float) -> list[Column]:
@@ -130,7 +132,7 @@ def fit_polynomial(
             .when(F.col(f"levels_{i}") < degree + 1, "rank_deficient")
             .otherwise("ok")
         )
-        cs = _expand([F.col(f"__b{i}_{j}") for j in range(degree + 1)], scale, shift)
+        cs = _expand([F.col(f"__b{i}.b{j}") for j in range(degree + 1)], scale, shift)
         out.append(F.col(f"n_{i}"))
         out.append(status.alias(f"status_{i}"))
         out += [F.when(status == "ok", c).alias(f"c{j}_{i}") for j, c in enumerate(cs)]
@@ -382,15 +384,16 @@ def evaluate_nrtl(
 ) -> DataFrame:
     """Parameters and mean absolute error of each target, each group its own."""
     p1, p2 = nrtl_ln_gamma("a12", "t12", "t21", x, F.lit(1.0) - F.col(x), a21="a21")
-    scored = df.select(*keys, x, *targets).join(parameters.select(*keys, *NRTL_PARAMETERS), keys)
+    parameters = measured(parameters.select(*keys, *NRTL_PARAMETERS))
+    scored = df.select(*keys, x, *targets).join(parameters, keys)
     errors = [F.avg(abs_error(nan_to_null(y), p)).alias(f"{y}_mae") for y, p in zip(targets, (p1, p2))]
-    return parameters.select(*keys, *NRTL_PARAMETERS).join(scored.groupBy(*keys).agg(*errors), keys)
+    return parameters.join(scored.groupBy(*keys).agg(*errors), keys)
 
 
 def polynomial_mae(df: DataFrame, fits: DataFrame, keys: list[str] = GROUP_KEYS, targets: list[str] = TARGETS, basis: str = "x") -> DataFrame:
     """Mean absolute error of each group's polynomial."""
     names = [c for c in coefficient_names() if c in fits.columns]
-    predicted = eval_polynomial(df.join(fits.select(*keys, *names), keys), basis=basis, targets=targets)
+    predicted = eval_polynomial(df.join(measured(fits.select(*keys, *names)), keys), basis=basis, targets=targets)
     errors = [F.avg(abs_error(nan_to_null(t), f"{t}_pred")).alias(f"{t}_mae") for t in targets]
     return predicted.groupBy(*keys).agg(*errors)
 
@@ -409,7 +412,7 @@ def apply_predictor(
     df: DataFrame, model: DataFrame, condition: str = "temperature_k", x: str = COMPOSITION, targets: list[str] = TARGETS
 ) -> DataFrame:
     """Add ``{target}_pred``; conditions the model lacks give NULL."""
-    joined = df.join(model, condition, "left")
+    joined = df.join(measured(model), condition, "left")
     preds = {
         f"{t}_pred": F.col(f"intercept_{i}") + F.col(f"slope_{i}") * F.col(x) for i, t in enumerate(targets, start=1)
     }

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pairflow.functions.scalars import nan_to_null
+from pairflow.operators.sizing import measured
 from pairflow.schema import GROUP_KEYS, ROW_ID
 from pairflow.session import ensure_checkpoint_dir
 
@@ -36,7 +37,7 @@ def apply_per_group(
     ensure_checkpoint_dir(spark)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).alias("__parts"))
     part = F.pmod(F.xxhash64(row_id), F.col("__parts")).cast("int")
-    parted = df.join(sizes, keys).withColumn("__part", part).drop("__parts")
+    parted = df.join(measured(sizes), keys).withColumn("__part", part).drop("__parts")
     # A fixed number of partitions: small ones would be merged, and Python is slow.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = parted.repartition(n, *keys, "__part").sortWithinPartitions(*keys, "__part").select(df.columns)
@@ -81,7 +82,7 @@ def _fail_whole_groups(results: DataFrame, keys: list[str], outputs: list[str])
         .groupBy(*keys)
         .agg(F.max("status").alias("__status"), F.min("error").alias("__error"))
     )
-    joined = results.join(failed, keys, "left")
+    joined = results.join(measured(failed), keys, "left")
     bad = F.col("__status").isNotNull()
     return joined.withColumns(
         {c: F.when(~bad, F.col(c)) for c in outputs}

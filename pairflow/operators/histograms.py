@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairflow.functions import fixed
 from pairflow.functions.scalars import nan_to_null
+from pairflow.operators.sizing import measured
 
 
 def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -32,6 +33,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10, by: list[str] = ()) ->
     values = df.select(*by, nan_to_null(F.col(column).cast("double")).alias("__v")).na.drop("any")
     extents = values.groupBy(*by).agg(*_extent(values, "__v", "__")).filter(F.col("__lo").isNotNull())
     if by:
+        extents = measured(extents)
         placed = values.join(extents, by)
         lo, hi = F.col("__lo"), F.col("__hi")
     else:
@@ -95,7 +97,7 @@ def kde(
     width = F.lit(float(bandwidth)) if bandwidth else F.stddev_samp("__v") * F.pow(F.count("__v").cast("double"), F.lit(-0.2))
     widths = values.groupBy(*by).agg(width.alias("__h")).filter(F.col("__h") > 0)
     step = (hi - lo) / (points - 1)
-    gridded = values.join(widths, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    gridded = values.join(measured(widths), by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.lit(float(lo)) + F.col("point") * F.lit(step)
     z = (at - F.col("__v")) / F.col("__h")
     height = F.exp(F.lit(-0.5) * z * z) / (F.col("__h") * F.lit((2.0 * 3.141592653589793) ** 0.5))

@@ -1,8 +1,9 @@
 """Joins (section 2.3).
 
-No side is broadcast by hint: the optimizer broadcasts a side whose size is known
-to be under ``spark.sql.autoBroadcastJoinThreshold`` and adaptive execution does so
-for a side measured at run time, else it sort-merges and splits skewed partitions.
+A plain table is broadcast by the optimizer when its known size is under
+``spark.sql.autoBroadcastJoinThreshold``.  A side that is itself an aggregate is
+measured first (``sizing.measured``).  Everything else is sort-merged, and adaptive
+execution splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairflow.functions.scalars import is_registry_id
 from pairflow.operators.ordering import first_per_key, row_index
 from pairflow.operators.select import drop_if_exists, drop_incomplete
+from pairflow.operators.sizing import measured
 from pairflow.schema import ENTITY_COLUMNS, GROUP_KEYS, ROW_ID
 
 
@@ -156,6 +158,7 @@ def pairs_across(
         .groupBy(key)
         .agg(F.max("a").alias("a"), F.max("b").alias("b"))
     )
+    sides = measured(sides)
     original = df.columns
     for i, c in enumerate(columns):
         side = sides.select(F.col(key).alias(c), F.col("a").alias(f"__a{i}"), F.col("b").alias(f"__b{i}"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairflow.functions.scalars import is_true, seeded_hash
+from pairflow.functions.scalars import any_of, is_true, seeded_hash
 from pairflow.operators.ordering import fraction_threshold, row_index
+from pairflow.operators.sizing import measured
 from pairflow.schema import ENTITY_COLUMNS, ROW_ID
 
 # Clusters walked within one array; longer lists are walked array by array.
@@ -90,6 +91,7 @@ def with_roles(
     obs: DataFrame, entities: DataFrame, key: str, role: str = "role", columns: list[str] = ENTITY_COLUMNS
 ) -> DataFrame:
     """Attach the role of both endpoints as ``role_1`` and ``role_2``."""
+    entities = measured(entities.select(key, role))
     for i, c in enumerate(columns, start=1):
         obs = obs.join(entities.select(F.col(key).alias(c), F.col(role).alias(f"role_{i}")), c, "left")
     return obs
@@ -128,16 +130,16 @@ def assign_pair_splits(
     threshold = fraction_threshold(labelled.filter(both("train")), 1.0 - holdout, seed, row_id)
     kept = F.coalesce(seeded_hash(row_id, seed) <= threshold, F.lit(False))
     independent = both("valid") if strict else is_true(one == "valid")
-    labels = F.array_compact(
-        F.array(
-            F.when(both("train"), F.when(kept, "train").otherwise("valid_cont")),
-            F.when(mixed("train", "valid"), "valid_mix"),
-            F.when(independent, "valid_indp"),
-            F.when(mixed("train", "test"), "test_mix"),
-            F.when(both("test"), "test_indp"),
-        )
-    )
-    if not strict:
-        return labelled.withColumn(name, F.explode(labels)).drop("role_1", "role_2")
-    label = F.get(labels, F.lit(0))
-    return labelled.withColumn(name, label).filter(F.col(name).isNotNull()).drop("role_1", "role_2")
+    # Membership first: it needs no hash, so rows of no split are dropped for nothing.
+    members = {
+        "train": both("train"),
+        "valid_mix": mixed("train", "valid"),
+        "valid_indp": independent,
+        "test_mix": mixed("train", "test"),
+        "test_indp": both("test"),
+    }
+    names = {s: F.lit(s) for s in members} | {"train": F.when(kept, "train").otherwise("valid_cont")}
+    placed = labelled.filter(any_of(list(members.values())))
+    labels = [F.when(inside, names[s]) for s, inside in members.items()]
+    label = F.coalesce(*labels) if strict else F.explode(F.array_compact(F.array(*labels)))
+    return placed.withColumn(name, label).drop("role_1", "role_2")
