@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairflow.llm.decontaminate import decontaminate
 from pairflow.llm.exact_dedup import exact_dedup
+from pairflow.llm.lattice import lattice_scores
 from pairflow.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
+from pairflow.llm.minhash import near_duplicates
+from pairflow.llm.mixing import mix_sources
+from pairflow.llm.toxicity import toxicity_scores
 from pairflow.llm.url_filter import RULE_SCHEMA, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +130,40 @@ FROM p LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (host, path)
 def op6(spark, folder):
     rules = spark.createDataFrame(URL_RULES, RULE_SCHEMA)
     return filter_urls(table(spark, folder, "pages"), rules).drop("url")
+
+
+@query("op3_lattice_lm")
+def op3(spark, folder):
+    return lattice_scores(table(spark, folder, "documents"))
+
+
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')".format(LOWER.format("coalesce(text, '')"))
+
+
+@query(
+    "op5_minhash",
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4))) END AS grams FROM d),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.grams) + len(y.grams) - n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(grams) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.node = s.doc_id
+""",
+)
+def op5(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op8_mix_sources")
+def op8(spark, folder):
+    return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_toxicity")
+def op7(spark, folder):
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")

@@ -64,7 +64,8 @@ def exact_dedup(
         F.transform(content_chunks(F.col("normal")), identifier).alias("recipe"),
         F.sha2(F.col("normal"), 256).alias("text_sha256"),
     ).checkpoint()
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).checkpoint()
+    # both sides are dealt out for the join, so that adaptive execution can split a hot group
     return recipes.join(groups, "recipe").select(
         "doc_id",
         "keep_id",
