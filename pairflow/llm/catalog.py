@@ -12,6 +12,8 @@ from pairflow.llm.lattice import lattice_scores
 from pairflow.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from pairflow.llm.minhash import near_duplicates
 from pairflow.llm.mixing import mix_sources
+from pairflow.llm.pii import find_personal_data
+from pairflow.llm.substring_dedup import remove_repeats
 from pairflow.llm.toxicity import toxicity_scores
 from pairflow.llm.url_filter import RULE_SCHEMA, filter_urls
 
@@ -167,3 +169,26 @@ def op8(spark, folder):
 @query("op7_toxicity")
 def op7(spark, folder):
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op9_substring_dedup",
+    """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, list_slice(w, i, i + 19) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM again) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+""",
+)
+def op9(spark, folder):
+    done = remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_personal_data")
+def op10(spark, folder):
+    found = find_personal_data(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
