@@ -51,6 +51,14 @@ def rank_scores(pieces: list[bytes]) -> np.ndarray:
     return np.log(mass / mass.sum())
 
 
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis."""
+    top = x.max(axis=0)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(x - safe).sum(axis=0))
+
+
 class Lattice:
     """Looks up all pieces in many words at once; the hash of a piece and its length decide."""
 
@@ -83,30 +91,35 @@ class Lattice:
             at, slot, h = tuple(x[go_on] for x in at), (slot[go_on] + 1) % SLOTS, h[go_on]
         return found
 
-    def arcs(self, words: np.ndarray):
-        """For each piece length, (piece numbers, scores) by start; -inf where no piece is."""
+    def arcs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers and scores by (length - 1, start, word); -1 and -inf where no piece is."""
         n, length = words.shape
-        codes, h, out = words.astype(U64) + U64(1), np.zeros((n, length), dtype=U64), []
-        for m in range(1, min(self.longest, length) + 1):
+        most = min(self.longest, length)
+        codes, h = words.astype(U64) + U64(1), np.zeros((n, length), dtype=U64)
+        found = np.full((most, length, n), -1, dtype=np.int32)
+        for m in range(1, most + 1):
             h = h[:, : length - m + 1] * RADIX + codes[:, m - 1 :]
-            found = self.find(h)
-            out.append((found, np.where(found >= 0, self.scores[found], -np.inf)))
-        return out
+            found[m - 1, : length - m + 1] = self.find(h).T
+        return found, np.where(found >= 0, self.scores[found], -np.inf)
 
-    def forward(self, arcs, n: int, length: int) -> np.ndarray:
-        a = np.full((length + 1, n), -np.inf)
+    @staticmethod
+    def forward(scores: np.ndarray) -> np.ndarray:
+        most, length, n = scores.shape
+        a, steps = np.full((length + 1, n), -np.inf), np.arange(most)
         a[0] = 0.0
         for j in range(1, length + 1):
-            for m in range(1, min(len(arcs), j) + 1):
-                np.logaddexp(a[j], a[j - m] + arcs[m - 1][1][:, j - m], out=a[j])
+            m = steps[: min(most, j)]
+            a[j] = log_sum(a[j - 1 - m] + scores[m, j - 1 - m])
         return a
 
-    def backward(self, arcs, n: int, length: int) -> np.ndarray:
+    @staticmethod
+    def backward(scores: np.ndarray) -> np.ndarray:
+        most, length, n = scores.shape
         b = np.full((length + 1, n), -np.inf)
         b[length] = 0.0
         for i in range(length - 1, -1, -1):
-            for m in range(1, min(len(arcs), length - i) + 1):
-                np.logaddexp(b[i], b[i + m] + arcs[m - 1][1][:, i], out=b[i])
+            m = min(most, length - i)
+            b[i] = log_sum(scores[:m, i] + b[i + 1 : i + m + 1])
         return b
 
     def batches(self, words: list[bytes]):
@@ -125,21 +138,18 @@ class Lattice:
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
         for part, matrix in self.batches(words):
-            n, length = matrix.shape
-            out[part] = self.forward(self.arcs(matrix), n, length)[length]
+            out[part] = self.forward(self.arcs(matrix)[1])[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all ways to cut, in words that occur so often."""
         total = np.zeros(len(self.scores))
         for part, matrix in self.batches(words):
-            n, length = matrix.shape
-            arcs = self.arcs(matrix)
-            a, b = self.forward(arcs, n, length), self.backward(arcs, n, length)
-            for m, (found, score) in enumerate(arcs, 1):
-                at = np.nonzero(found >= 0)
-                share = np.exp(a[at[1], at[0]] + score[at] + b[at[1] + m, at[0]] - a[length][at[0]])
-                total += np.bincount(found[at], weights=share * counts[part][at[0]], minlength=len(total))
+            found, scores = self.arcs(matrix)
+            a, b = self.forward(scores), self.backward(scores)
+            m, start, word = np.nonzero(found >= 0)
+            share = np.exp(a[start, word] + scores[m, start, word] + b[start + m + 1, word] - a[-1][word])
+            total += np.bincount(found[m, start, word], weights=share * counts[part][word], minlength=len(total))
         return total
 
 

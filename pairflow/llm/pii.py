@@ -159,7 +159,7 @@ def neighbour_counts(graph: Graph) -> np.ndarray:
     return counts.reshape(len(graph.labels), 2 * LABELS)
 
 
-def fit_weights(graph: Graph, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> Weights:
+def fit_weights(graph: Graph, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Weights:
     """Maximum pseudo-likelihood by gradient steps with moments; without nodes all weights are 0."""
     n = len(graph.labels)
     if not n:
