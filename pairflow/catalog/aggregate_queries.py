@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairflow.catalog.io_queries import SPLIT_OF
 from pairflow.catalog.registry import query, round_columns
 from pairflow.catalog.views import OBS, ROLES, obs, roles
 from pairflow.functions import fixed
@@ -200,17 +201,12 @@ def _(t):
     return round_columns(round_columns(h.kde(t.events, "value", ["event_type"], -50, 250, 41), ["x"]), ["density"], 9)
 
 
-@query("d17_split_sizes", f"""
-WITH {OBS}, {ROLES}, base AS (SELECT m1, m2, a.role AS r1, b.role AS r2 FROM obs JOIN roles a ON m1 = a.id JOIN roles b ON m2 = b.id),
-s AS (SELECT m1, m2, CASE WHEN r1 = 'valid' AND r2 = 'valid' THEN 'valid_indp' WHEN r1 = 'test' AND r2 = 'test' THEN 'test_indp'
-      WHEN r1 <> r2 AND 'train' IN (r1, r2) AND 'valid' IN (r1, r2) THEN 'valid_mix'
-      WHEN r1 <> r2 AND 'train' IN (r1, r2) THEN 'test_mix' END AS split FROM base),
+@query("d17_split_sizes", f"""{SPLIT_OF},
 u AS (SELECT split, m1 AS m FROM s UNION SELECT split, m2 FROM s)
 SELECT split, count(*) AS n_rows, (SELECT count(*) FROM u WHERE u.split = s.split) AS n_entities
 FROM s WHERE split IS NOT NULL GROUP BY 1""")
 def _(t):
-    splits = assign_pair_splits(obs(t), roles(t), "id")
-    return d.split_sizes(splits.filter(~F.col("split").isin("train", "valid_cont")), ["m1", "m2"])
+    return d.split_sizes(assign_pair_splits(obs(t), roles(t), "id"), ["m1", "m2"])
 
 
 @query("d18_all_in_range", """

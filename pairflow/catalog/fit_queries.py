@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pairflow.catalog.io_queries import SPLIT_STEPS
 from pairflow.catalog.registry import query, round_columns, rounded
 from pairflow.catalog.views import OBS, ROLES, obs, roles
 from pairflow.operators import fits as i
@@ -114,15 +115,11 @@ def _(t):
     return round_columns(i.widen_coefficients(rows, GROUP_KEYS, "target", "coefficients"), coefficient_names(), 2)
 
 
-SPLIT_KEYS = """labels_of AS (
-  SELECT o.*, CASE WHEN a.role = 'valid' AND b.role = 'valid' THEN 'valid_indp' WHEN a.role = 'test' AND b.role = 'test' THEN 'test_indp'
-     WHEN a.role <> b.role AND 'train' IN (a.role, b.role) AND 'valid' IN (a.role, b.role) THEN 'valid_mix'
-     WHEN a.role <> b.role AND 'train' IN (a.role, b.role) THEN 'test_mix' END AS split
-  FROM obs o JOIN roles a ON m1 = a.id JOIN roles b ON m2 = b.id)"""
+SPLIT_KEYS = f"{SPLIT_STEPS}, labels_of AS (SELECT * FROM s)"
 
 
-def _holdout_splits(t):
-    return assign_pair_splits(obs(t), roles(t), "id").filter(~F.col("split").isin("train", "valid_cont"))
+def _splits(t):
+    return assign_pair_splits(obs(t), roles(t), "id")
 
 
 @query("i4_polynomial_split_tables", f"""
@@ -130,7 +127,7 @@ WITH {FITTED}, {ROLES}, {SPLIT_KEYS}
 SELECT DISTINCT split, m1, m2, temperature_k, {ROUNDED} FROM labels_of JOIN status USING (m1, m2, temperature_k)
 LEFT JOIN fa USING (m1, m2, temperature_k) LEFT JOIN fb USING (m1, m2, temperature_k) WHERE split IS NOT NULL""")
 def _(t):
-    return round_columns(i.polynomial_split_tables(i.fit_polynomial(obs(t)), _holdout_splits(t)), coefficient_names(), 2)
+    return round_columns(i.polynomial_split_tables(i.fit_polynomial(obs(t)), _splits(t)), coefficient_names(), 2)
 
 
 @query("i4_polynomial_split_tables_compat", f"""
@@ -139,7 +136,7 @@ d AS (SELECT DISTINCT split, m1, m2, temperature_k, x1, ln_gamma_1, ln_gamma_2 F
 SELECT split, m1, m2, temperature_k, {ROUNDED} FROM d JOIN status USING (m1, m2, temperature_k)
 LEFT JOIN fa USING (m1, m2, temperature_k) LEFT JOIN fb USING (m1, m2, temperature_k)""")
 def _(t):
-    splits = _holdout_splits(t).drop("row_id")
+    splits = _splits(t).drop("row_id")
     return round_columns(i.polynomial_split_tables(i.fit_polynomial(obs(t)), splits, dedupe="row"), coefficient_names(), 2)
 
 

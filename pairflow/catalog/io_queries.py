@@ -113,13 +113,15 @@ def _(t):
     return t.spark.read.schema("model_name string, holdout_set string, rmse double").json(path)
 
 
-SPLIT_OF = f"""
-WITH {OBS}, {ROLES}, base AS (SELECT o.*, a.role AS r1, b.role AS r2 FROM obs o JOIN roles a ON m1 = a.id JOIN roles b ON m2 = b.id),
+SPLIT_STEPS = """
+base AS (SELECT o.*, a.role AS r1, b.role AS r2 FROM obs o JOIN roles a ON m1 = a.id JOIN roles b ON m2 = b.id),
 ranked AS (SELECT row_id, row_number() OVER (ORDER BY md5('1995:' || row_id)) AS rn, count(*) OVER () AS n FROM base WHERE r1 = 'train' AND r2 = 'train'),
 s AS (SELECT base.*, CASE WHEN rn <= floor((1.0::DOUBLE - 0.01::DOUBLE) * n) THEN 'train' WHEN rn IS NOT NULL THEN 'valid_cont'
   WHEN r1 = 'valid' AND r2 = 'valid' THEN 'valid_indp' WHEN r1 = 'test' AND r2 = 'test' THEN 'test_indp'
   WHEN 'train' IN (r1, r2) AND 'valid' IN (r1, r2) THEN 'valid_mix' WHEN 'train' IN (r1, r2) THEN 'test_mix' END AS split
   FROM base LEFT JOIN ranked USING (row_id))"""
+SPLIT_OF = f"""
+WITH {OBS}, {ROLES}, {SPLIT_STEPS}"""
 
 
 @query("a12_write_split_tables", f"{SPLIT_OF} SELECT split, row_id, m1, m2, temperature_k, x1, round(ln_gamma_1, 6) + 0.0 AS ln_gamma_1 FROM s WHERE split IS NOT NULL")

@@ -62,7 +62,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, cas_number_1,
 FROM keyed LEFT JOIN by_key k ON cas_number_1 = k.cas_number LEFT JOIN by_name n ON cas_number_1 = n.solvent_name""")
 def _(t):
     dim = part_dim(t)
-    return j.resolve_with_fallback(keyed(t), dim.na.drop(), "cas_number_1", "cas_number", "solvent_name", "smiles", "smiles_1")
+    return j.resolve_with_fallback(keyed(t), dim, "cas_number_1", "cas_number", "solvent_name", "smiles", "smiles_1")
 
 
 @query("c5_lookup_by_type", f"""

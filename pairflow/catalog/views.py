@@ -37,16 +37,10 @@ part_dim AS (
   FROM part)"""
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan of fewer splits than cores, such as a small single file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def obs(t: Tables) -> DataFrame:
     """Pair observations: supplier nation against customer nation."""
     joined = (
-        spread(t.lineitem, "l_orderkey")
+        t.lineitem
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))

@@ -63,14 +63,15 @@ def min_group_size(df: DataFrame, keys: list[str] = GROUP_KEYS, n: int = fixed.M
 def score_columns(targets: list[str] = TARGETS, suffix: str = "_pred") -> list[Column]:
     """RMSE, MAE and R2 aggregates per target.
 
-    R2 is one minus residual over total sum of squares; for constant truth it is 1
-    when every prediction is right and 0 otherwise.
+    All three are over the rows that have both truth and prediction.  R2 is one minus
+    residual over total sum of squares; for constant truth it is 1 when every prediction
+    is right and 0 otherwise.
     """
     rmse, mae, r2 = [], [], []
     for t in targets:
-        y, p = F.col(t), F.col(t + suffix)
+        y, p = nan_to_null(t), nan_to_null(t + suffix)
         residual = F.sum((y - p) * (y - p))
-        spread = F.regr_syy(y, y)
+        spread = F.regr_syy(y, p)  # rows with both
         constant = F.when(residual == 0, F.lit(1.0)).otherwise(F.lit(0.0))
         share = F.when(spread == 0, constant).otherwise(F.lit(1.0) - F.try_divide(residual, spread))
         rmse.append(F.sqrt(F.avg((y - p) * (y - p))).alias(f"{t}_rmse"))

@@ -13,6 +13,8 @@ from pairflow.operators.sizing import measured
 from pairflow.schema import GROUP_KEYS, ROW_ID
 from pairflow.session import ensure_checkpoint_dir
 
+ROWS_PER_TASK = 100_000
+
 
 def apply_per_group(
     df: DataFrame,
@@ -20,22 +22,22 @@ def apply_per_group(
     fn: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     outputs: list[str],
     row_id: str = ROW_ID,
-    max_rows: int = 10_000,
 ) -> DataFrame:
     """Call ``fn(key, rows)`` on every group; returns rows, outputs, status, error.
 
-    ``fn`` predicts each row from the key and that row's conditions, and returns one
-    output row per input row in the same order.  It is handed at most ``max_rows``
-    rows of a group at a time, so that no group has to fit in one task.  An exception
-    or a short result fails the whole group: all of its rows come back with NULL
-    outputs, ``status`` "error" or "incomplete", and the message.
+    ``fn`` works row by row: it predicts each row from the key and that row's own
+    conditions, and returns one output row per input row in the same order.  Rows of a key
+    are brought together to make few calls, large groups over several tasks; as results
+    are per row, it does not matter in which parts a group comes.  An exception or a result of
+    another length fails the whole group: all of its rows come back with NULL outputs,
+    ``status`` "error" or "incomplete", and the message.
 
     The outcome is checkpointed, so that ``fn`` runs once per row although failures
     are then looked up across the parts of a group.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows)).alias("__parts"))
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_TASK)).alias("__parts"))
     part = F.pmod(F.xxhash64(row_id), F.col("__parts")).cast("int")
     parted = df.join(measured(sizes), keys).withColumn("__part", part).drop("__parts")
     # A fixed number of partitions: small ones would be merged, and Python is slow.
@@ -52,8 +54,8 @@ def apply_per_group(
             found = fn(key, rows)
         except Exception as e:  # the message is the result
             return None, "error", f"{type(e).__name__}: {e}"
-        if len(found) < len(rows):
-            return None, "incomplete", "fewer results than rows"
+        if len(found) != len(rows):
+            return None, "incomplete", "fewer results than rows" if len(found) < len(rows) else "more results than rows"
         return found, "ok", None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,13 +64,11 @@ def apply_per_group(
             status = np.full(len(batch), "ok", dtype=object)
             error = np.full(len(batch), None, dtype=object)
             for key, at in batch.groupby(keys, sort=False, dropna=False).indices.items():
-                for start in range(0, len(at), max_rows):
-                    piece = at[start : start + max_rows]
-                    key = key if isinstance(key, tuple) else (key,)
-                    found, status[piece], error[piece] = attempt(key, batch.iloc[piece].reset_index(drop=True))
-                    if found is not None:
-                        for c in outputs:
-                            values[c][piece] = np.asarray(found[c], dtype=float)[: len(piece)]
+                key = key if isinstance(key, tuple) else (key,)
+                found, status[at], error[at] = attempt(key, batch.iloc[at].reset_index(drop=True))
+                if found is not None:
+                    for c in outputs:
+                        values[c][at] = np.asarray(found[c], dtype=float)
             yield batch.assign(**values, status=status, error=error)
 
     results = gathered.mapInPandas(run, schema)

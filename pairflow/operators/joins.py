@@ -21,9 +21,9 @@ from pairflow.schema import ENTITY_COLUMNS, GROUP_KEYS, ROW_ID
 
 
 def _lookup(dim: DataFrame, key: str, value: str, key_as: str, value_as: str) -> DataFrame:
-    """Dimension cut down to one (key, value) row per known key."""
+    """Dimension cut down to one (key, value) row per known key: of several values the first; NULL is none."""
     pruned = dim.select(F.col(key).alias(key_as), F.col(value).alias(value_as))
-    return first_per_key(pruned.filter(F.col(key_as).isNotNull()), [key_as], [value_as])
+    return first_per_key(pruned.filter(F.col(key_as).isNotNull() & F.col(value_as).isNotNull()), [key_as], [value_as])
 
 
 def enrich_left(df: DataFrame, dim: DataFrame, on: str, value: str, dim_key: str | None = None) -> DataFrame:
@@ -169,7 +169,6 @@ def pairs_across(
 
 # Pairs one task of ``all_pairs`` should put out, and the most tasks it may use.
 PAIRS_PER_TASK = 1_000_000
-MOST_TASKS = 20_000
 
 
 def all_pairs(
@@ -189,7 +188,7 @@ def all_pairs(
     spark = df.sparkSession
     indexed = row_index(df.select(*dict.fromkeys([*order, *columns])), order, name="__i")
     n = indexed.count()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, n * n // 2 // PAIRS_PER_TASK))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * n // 2 // PAIRS_PER_TASK)
     # At least some four block pairs per task, for balance.
     block = max(1, min(block, n // max(1, isqrt(8 * tasks))))
     entities = indexed.select("__i", *columns, F.floor(F.col("__i") / F.lit(block)).cast("long").alias("__b"))

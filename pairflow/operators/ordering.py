@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairflow.functions.scalars import hash_fraction, seeded_hash
+from pairflow.operators.sizing import measured
 from pairflow.schema import ROW_ID
 from pairflow.session import ensure_checkpoint_dir
 
@@ -31,7 +32,7 @@ def row_index(df: DataFrame, order: list[str | Column], name: str = "row_index")
     sizes = numbered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")
     offsets = sizes.select("__pid", before.alias("__offset"))
-    indexed = numbered.join(offsets, "__pid").withColumn(name, F.col("__offset") + F.col("__pos"))
+    indexed = numbered.join(measured(offsets), "__pid").withColumn(name, F.col("__offset") + F.col("__pos"))
     return indexed.drop("__pid", "__pos", "__offset")
 
 

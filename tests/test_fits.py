@@ -142,10 +142,24 @@ def test_summed_objective_lets_errors_cancel(spark):
         i.fit_nrtl_grid(df, objective="max")
 
 
-def test_apply_per_group_in_parts(spark):
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_apply_per_group_in_any_parts(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        _check_apply_per_group(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_longer_result_fails_the_group(spark):
+    df = frame(spark, {("a", "b", 1.0): [(x / 40, 0.0, 0.0) for x in range(40)]})
+    out = apply_per_group(df, GROUP_KEYS, lambda key, rows: pd.DataFrame({"p": [0.0] * (len(rows) + 1)}), ["p"])
+    assert {(r["status"], r["p"]) for r in out.collect()} == {("incomplete", None)}
+
+
+def _check_apply_per_group(spark):
     def predictor(key, rows):
         m1, m2, temperature = key
-        assert len(rows) <= 7
         if m2 == "bad":
             raise KeyError(m2)
         out = pd.DataFrame({"p": rows["x1"] * temperature})
@@ -154,7 +168,7 @@ def test_apply_per_group_in_parts(spark):
     points = [(x / 40, float(x), 0.0) for x in range(40)]
     groups = {("a", m2, t): points for m2, t in (("ok", 2.0), ("bad", 2.0), ("short", 2.0), ("ok", 3.0))}
     df = frame(spark, groups)
-    out = apply_per_group(df, GROUP_KEYS, predictor, ["p"], max_rows=7)
+    out = apply_per_group(df, GROUP_KEYS, predictor, ["p"])
     assert out.count() == df.count()
     assert out.filter("m2 = 'ok'").filter(F.abs(F.col("p") - F.col("x1") * F.col("temperature_k")) < 1e-12).count() == 80
     assert out.filter("m2 <> 'ok' AND p IS NOT NULL").count() == 0
@@ -168,7 +182,7 @@ def test_one_short_part_fails_the_whole_group(spark):
         return out[rows["x1"] < 0.9]
 
     df = frame(spark, {("a", "b", 1.0): [(x / 40, 0.0, 0.0) for x in range(40)]})
-    out = apply_per_group(df, GROUP_KEYS, picky, ["p"], max_rows=4)
+    out = apply_per_group(df, GROUP_KEYS, picky, ["p"])
     assert {(r["status"], r["p"]) for r in out.collect()} == {("incomplete", None)}
 
 

@@ -187,3 +187,16 @@ def test_filters_reach_the_scan(spark, plan, tmp_path):
     spark.range(100).select("id", (F.col("id") * 2).alias("b"), F.lit("x").alias("c")).write.parquet(path)
     text = plan(s.filter_abs_below(spark.read.parquet(path), "id", 5).filter("b > 3").select("id"))
     assert "GreaterThan(b,3)" in text and "c:string" not in text
+
+
+def test_null_candidates_never_win(spark):
+    dim = spark.createDataFrame([("k", None), ("k", "b"), ("k", "a"), ("n", None)], "key string, value string")
+    rows = spark.createDataFrame([("k",), ("n",), ("x",)], "key string")
+    found = {r["key"]: r["value"] for r in j.enrich_left(rows, dim, "key", "value").collect()}
+    assert found == {"k": "a", "n": None, "x": None}
+
+
+def test_scores_use_rows_with_both_values(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (30.0, None), (40.0, float("nan"))], "y double, y_pred double")
+    r = d.regression_scores(df, ["y"]).first()
+    assert r["y_r2"] == pytest.approx(0.5) and r["y_mae"] == pytest.approx(0.25)
