@@ -22,10 +22,12 @@ from pairflow.operators.sizing import measured
 from pairflow.session import ensure_checkpoint_dir
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS, BITS = 32, 4, 2
+BANDS, ROWS, BITS = 32, 4, 4
 #: Candidates rated this many standard deviations below the threshold are not confirmed.
-MARGIN = 6.0
-BLOCK = 256
+MARGIN = 4.5
+#: Minima and bits of the finer signature by which pairs across components are rated.
+FINE, FINE_BITS = 2048, 2
+BLOCK = 1024
 SLICE = 2048
 
 
@@ -96,6 +98,18 @@ def features(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     return docs.select("doc_id", "text").mapInArrow(_features(shingle, bands, rows, bits), schema)
 
 
+def _fine(shingle: int, count: int, bits: int):
+    def run(batches):
+        hashes, (a, b) = WordHashes(), permutations(count)
+        for batch in batches:
+            sets = [shingle_set(t.encode().lower().split(), hashes, shingle) for t in batch.column("text").to_pylist()]
+            signs = [packed_bits(minima(s, a, b), bits).view(np.int64) for s in sets]
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sign"])
+
+    return run
+
+
 def rated(x: Column, y: Column, count: int = BANDS * ROWS, bits: int = BITS) -> Column:
     """Similarity estimate of two packed signatures: equal groups by bit counts, less what equals by chance."""
     first = sum(1 << i for i in range(0, 64, bits))
@@ -139,21 +153,45 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b").distinct()
 
 
-def bucket_pairs(members: DataFrame, least: float, count: int, bits: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket that are rated high enough.
+def _pairs(percent: int, count: int, bits: int):
+    ones = U64(sum(1 << i for i in range(0, 64, bits)))
+    chance, least = 2.0**-bits, least_rating(percent, count, bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, size, block = (table.column(c).to_numpy() for c in ("node", "label", "size", "block"))
+        signs = np.array(table.column("sign").to_pylist(), dtype=np.int64).view(U64)
+        key, keys, out = table.column("key")[0].as_py(), table.column("keys").to_pylist(), []
+        first = block == block.min()
+        for k in np.flatnonzero(first):
+            other = ~first if not first.all() else np.arange(len(node)) > k
+            other &= (label != label[k]) & (np.minimum(size, size[k]) * 100 >= np.maximum(size, size[k]) * percent)
+            at = np.flatnonzero(other)
+            differs = signs[at] ^ signs[k]
+            for s in range(1, bits):
+                differs |= (signs[at] ^ signs[k]) >> U64(s)
+            equal = 1 - np.bitwise_count(differs & ones).sum(axis=1) / count
+            for m in at[(equal - chance) / (1 - chance) >= least]:
+                if min(set(keys[k]) & set(keys[m])) == key:  # of several shared buckets, one names the pair
+                    out.append((min(node[k], node[m]), max(node[k], node[m])))
+        kind = table.schema.field("node").type
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], kind) for i in (0, 1)], names=["a", "b"])
 
-    ``members``: key, node, label, sign.  A bucket is cut into blocks of about ``BLOCK``
-    members and each pair of blocks is a join key of its own, so that no task gets a large
-    bucket whole; pairs rated too low end in the join condition.
+    return run
+
+
+def bucket_pairs(members: DataFrame, percent: int, count: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket that are rated high enough, and not too unlike in size.
+
+    ``members``: key, node, label, size, sign and the keys of all buckets of the node.  A
+    bucket is cut into blocks of about ``BLOCK`` members and each pair of blocks is a group of
+    its own, so that no task gets a large bucket whole.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).checkpoint()
     cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    left = cut.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "node", "label", "sign")
-    right = cut.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "node", "label", "sign")
-    x, y = left.alias("x"), right.alias("y")
-    match = F.expr("x.key = y.key and x.i = y.i and x.j = y.j and x.label <> y.label and (x.i < x.j or x.node < y.node)")
-    near = rated(F.col("x.sign"), F.col("y.sign"), count, bits) >= least
-    return x.join(y, match & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    kind = members.schema["node"].dataType.simpleString()
+    return dealt.groupBy("key", "i", "j").applyInArrow(_pairs(percent, count, bits), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(
@@ -174,12 +212,12 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable, ``kept`` marks the row that has it.
 
     Equal sets are one class with one representative, so copies are never paired.  In each
-    bucket, first every member meets the smallest one (of several buckets, the partner rated
-    best is confirmed); buckets whose members are then in one component are done, in the
-    others all pairs across components are rated.  No bucket is capped.
+    bucket, first every member meets the one that shares its buckets with most others, the
+    likely original of a group; buckets whose members are then in one component are done, in
+    the others all pairs across components are rated.  No bucket is capped.
 
     A pair at the threshold shares a bucket with probability 1 - (1 - s**rows)**bands, at 75 %
-    and the defaults all but 5 in a million.  Null texts count as empty.  Rows that share an id
+    and the defaults all but 5 in a million; its rating is too low for 4 in a million.  Null texts count as empty.  Rows that share an id
     are one document, linked as any of its texts is.  A row with a null id links with nothing;
     its component is null and it is kept.  An empty table gives an empty result; other columns
     are not read.  Ids must be whole numbers.  Runs jobs when called.
@@ -198,26 +236,36 @@ def near_duplicates(
     )
     count, least = bands * rows, least_rating(percent, bands * rows, bits)
     placed = nodes.select("node", F.explode("band_keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last").checkpoint()
-    buckets = placed.join(shared, "key").checkpoint()
+    shared = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").checkpoint()
+    crowd = placed.join(shared, "key").checkpoint()
+    fame = crowd.groupBy("node").agg(F.sum("n").alias("fame")).checkpoint()
+    famous = crowd.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", -F.col("node")))["col2"].alias("hub"))
+    hubs = famous.select("key", (-F.col("hub")).alias("hub")).checkpoint()
+    buckets = crowd.select("key", "node")
 
     signs = nodes.select("node", "sign")
-    to_hub = buckets.filter("node <> hub").select("node", "hub").distinct()
+    to_hub = buckets.join(hubs, "key").filter("node <> hub").select("node", "hub").distinct()
     rating = rated(F.col("s.sign"), F.col("h.sign"), count, bits)
     stars = (
         to_hub.alias("p").join(signs.alias("s"), F.expr("p.node = s.node")).join(signs.alias("h"), F.expr("p.hub = h.node"))
         .select("p.node", "p.hub", rating.alias("rating")).filter(F.col("rating") >= least)
     )
-    best = stars.groupBy("node").agg(F.max(F.struct("rating", -F.col("hub")))["col2"].alias("hub"))
-    first = best.select((-F.col("hub")).alias("a"), F.col("node").alias("b")).checkpoint()
+    first = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().checkpoint()
     links = confirmed(texts, first, shingle, percent).checkpoint()
 
     labels = connected_components(links)
     named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).checkpoint()
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("key").checkpoint()
-    left_over = named.join(mixed, "key", "left_semi").join(signs, "node")
-    rest = bucket_pairs(left_over, least, count, bits).join(first, ["a", "b"], "left_anti").checkpoint()
-    links = links.union(confirmed(texts, rest, shingle, percent)).union(copies)
+    open_ = named.join(mixed, "key", "left_semi").checkpoint()
+    open_nodes = open_.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).checkpoint()
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    fine = (
+        texts.join(measured(open_nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").filter("text <> ''")
+        .mapInArrow(_fine(shingle, FINE, FINE_BITS), f"node {kind}, size long, sign array<long>").dropDuplicates(["node", "size", "sign"])
+    )
+    left_over = open_.join(open_nodes.join(fine, "node").checkpoint(), "node")
+    rest = bucket_pairs(left_over, percent, FINE, FINE_BITS).join(first, ["a", "b"], "left_anti").checkpoint()
+    links = links.union(confirmed(texts, rest, shingle, percent)).union(copies).checkpoint()
 
     final = connected_components(links)
     joined = seen.alias("d").join(final.alias("c"), F.expr("d.doc_id = c.node"), "left")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairflow.llm.common import remainder, whole_text
+from pairflow.operators.sizing import measured
 from pairflow.session import ensure_checkpoint_dir
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -276,7 +277,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
         .filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     )
     texts = docs.select(docs[id_col].alias("doc_id"), whole_text(docs, text).alias("text"))
-    return texts.filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).join(one, "doc_id").select("doc_id", "text", "toxic")
+    return texts.filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).join(measured(one), "doc_id").select("doc_id", "text", "toxic")
 
 
 def fitted_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
