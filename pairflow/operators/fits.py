@@ -246,7 +246,8 @@ def eval_polynomial(
 # --- two-liquid model ---------------------------------------------------------
 
 NRTL_PARAMETERS = ["a12", "a21", "t12", "t21"]
-ALPHA_AXIS = [0.1, 0.3, 0.5]
+# Half the gaps between these, and to the bounds 0 and 1, add up to the whole range.
+ALPHA_AXIS = [0.1, 0.4, 0.8]
 TAU_AXIS = [-366.0, -100.0, -30.0, -10.0, -3.0, -1.0, -0.3, 0.0, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 366.0]
 GRID_BLOCKS = 16
 REFINE_STEPS = [-1.0, -0.5, 0.0, 0.5, 1.0]

@@ -8,6 +8,7 @@ from pairflow.functions.scalars import any_of, is_true, seeded_hash
 from pairflow.operators.ordering import fraction_threshold, row_index
 from pairflow.operators.sizing import measured
 from pairflow.schema import ENTITY_COLUMNS, ROW_ID
+from pairflow.session import ensure_checkpoint_dir
 
 # Clusters walked within one array; longer lists are walked array by array.
 FOLD_CHUNK = 2000
@@ -47,23 +48,24 @@ def greedy_cluster_split(
     """Assign whole clusters to train, valid or test, walking them in label order.
 
     A cluster goes to train if it still fits, else to valid if it fits, else to
-    test; a later small cluster may still enter train.  Only cluster sizes are
-    walked.  They are numbered and cut into arrays of ``chunk``; the running sizes
+    test; a later small cluster may still enter train.  Entities without a cluster stay,
+    with a NULL role.  Only cluster sizes are walked, checkpointed once.  They are numbered and cut into arrays of ``chunk``; the running sizes
     at the start of every array are two numbers each, found array after array, and
     then all arrays are walked at once.
     """
     spark = entities.sparkSession
+    ensure_checkpoint_dir(spark)
     train_size = 1.0 - test_size - valid_size
     sizes = (
         entities.filter(F.col(cluster).isNotNull())
         .groupBy(F.col(cluster).alias("cluster"))
         .agg(F.count(F.lit(1)).alias("size"))
+        .checkpoint()
     )
-    total = sizes.agg(F.sum("size")).scalar()
+    n_clusters, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     train_cut = F.lit(train_size) * F.col("__total")
     valid_cut = F.lit(train_size + valid_size) * F.col("__total")
 
-    n_clusters = sizes.count()
     if n_clusters <= chunk:
         numbered = sizes.withColumn("__chunk", F.lit(0).cast("long"))
     else:
@@ -71,11 +73,11 @@ def greedy_cluster_split(
         numbered = numbered.withColumn("__chunk", F.floor(F.col("__i") / F.lit(chunk)).cast("long"))
     arrays = numbered.groupBy("__chunk").agg(
         F.sort_array(F.collect_list(F.struct("cluster", "size"))).alias("__clusters")
-    )
+    ).checkpoint()
 
     def walked(frame: DataFrame) -> DataFrame:
         walk = _walk(F.col("__clusters"), F.col("__train"), F.col("__valid"), train_cut, valid_cut)
-        return frame.withColumn("__total", total).select(walk.alias("walk"))
+        return frame.withColumn("__total", F.lit(total)).select(walk.alias("walk"))
 
     state, states = (0, 0), [(0, 0, 0)]
     for k in range(1, -(-n_clusters // chunk)):
@@ -84,7 +86,7 @@ def greedy_cluster_split(
         states.append((k, *state))
     starts = spark.createDataFrame(states, "__chunk long, __train long, __valid long")
     roles = walked(arrays.join(starts, "__chunk")).select(F.inline("walk.roles"))
-    return entities.join(roles.select(F.col("cluster").alias(cluster), F.col("role").alias(name)), cluster)
+    return entities.join(roles.select(F.col("cluster").alias(cluster), F.col("role").alias(name)), cluster, "left")
 
 
 def with_roles(

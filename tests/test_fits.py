@@ -194,3 +194,10 @@ def test_external_scores(spark):
     r = external_scores_job(df, half).first()
     assert r["ln_gamma_1_rmse"] == 0.0 and r["ln_gamma_1_r2"] == 1.0
     assert r["ln_gamma_2_mae"] == 1.0 and r["ln_gamma_2_r2"] == pytest.approx(0.9)
+
+
+def test_the_alpha_axis_reaches_its_whole_range():
+    gaps = i._half_gap(i.ALPHA_AXIS, (0.0, 1.0))
+    reach = sorted((a - g, a + g) for a, g in zip(i.ALPHA_AXIS, gaps))
+    assert reach[0][0] <= 0.0 and reach[-1][1] >= 1.0 - 1e-9
+    assert all(b[0] <= a[1] + 0.05 for a, b in zip(reach, reach[1:]))
