@@ -55,7 +55,7 @@ def ranked_terms(windows: DataFrame, vocabulary: DataFrame, counts: DataFrame) -
     by_rarity = Window.partitionBy("window_id").orderBy("n", "term_id", "offset")  # at most a window's words in one group
     return (
         flat.join(vocabulary, "word")
-        .join(counts, "term_id", "left")
+        .join(measured(counts), "term_id", "left")  # a row per benchmark term
         .fillna(0, "n")
         .select("window_id", "n_terms", "offset", "term_id", F.row_number().over(by_rarity).alias("rank"))
     )
