@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     texts = marked.alias("t").join(per_doc.alias("r"), F.expr("t.doc_id = r.doc_id and t.text_key = r.text_key"), "left").select("t.*", "runs")
     passages = (
-        texts.filter("runs is not null and not is_copy").select(*KEY, "text", "runs")
+        texts.select(*KEY, "text", "is_copy", "runs")  # the columns read below too, so that texts are dealt out once
         .mapInArrow(_passages(window, shards), f"shard long, anchor long, passage binary, doc_id {kind}, text_key long, first int, windows int")
     )
     firsts = (
