@@ -236,12 +236,12 @@ def brute_components(rows, size=5, percent=75):
 
 def test_near_duplicates(spark, corpus, monkeypatch):
     chain, words = [], [f"c{k}" for k in range(60)]
-    for k in range(25):  # a chain in which only neighbours are near, and many copies
+    for k in range(6):  # a chain in which only neighbours are near, and many copies
         words[k * 2] = f"d{k}"
         chain += [(5000 + 2 * k, " ".join(words), "en", "s", 0), (7000 - k, " ".join(words), "en", "s", 0)]
     rows = corpus + chain + [(9000, "", "", "", 0), (9001, None, "", "", 0)]
     sets, want = brute_components(rows)
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     for r in minhash.near_duplicates(frame(spark, rows)).collect():
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
