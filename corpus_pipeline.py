@@ -19,7 +19,8 @@ from pairflow.llm.decontaminate import decontaminate
 from pairflow.llm.line_dedup import line_dedup
 from pairflow.llm.minhash import near_duplicates
 from pairflow.llm.mixing import mix_sources
-from pairflow.llm.toxicity import THRESHOLD, fitted_scorer
+from pairflow.llm.toxicity import THRESHOLD, toxicity_rates
+from pairflow.operators.sizing import measured
 from pairflow.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    score = fitted_scorer(docs, table(spark, sf_dir, "labels"))
-    rated = docs.select(*COLUMNS, score(whole_text(docs)).alias("toxicity"))
-    return rated.filter(F.col("toxicity.score") < THRESHOLD).select(*COLUMNS)
+    rates = toxicity_rates(docs, table(spark, sf_dir, "labels"))
+    toxic = measured(rates.filter(F.col("s.score") >= THRESHOLD).select("text_key").distinct())  # a text has one score
+    return docs.withColumn("text_key", F.xxhash64(whole_text(docs))).join(toxic, "text_key", "left_anti").select(*COLUMNS)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

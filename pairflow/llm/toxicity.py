@@ -1,16 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings that tell the labels apart; how many documents hold each
-is counted over all documents.  Examples sit in an inverted index cut into blocks: for each
-term the weights of its postings and the largest weight of each block.  A query visits blocks
-by their bound and stops when no block can beat the neighbours found, so the neighbours are
-exact.  They vote with weights that fall with distance, and votes are calibrated on the
-examples themselves, each left out of its own neighbours.
+Every word of a text is a component of its vector; how many documents hold a word is counted
+over all documents, and words that tell the labels apart weigh more.  The examples sit in an inverted index: per term its postings, cut into
+blocks of examples with the largest weight of each block.  A query rates the blocks of the
+best bounds first and then all others that can still beat the neighbours found, so the
+neighbours are exact.  Tasks hold the words of the examples only; what a text's other words
+add to its norm is joined from the table of word weights.  Neighbours vote with weights that fall
+with distance, and votes are calibrated on the examples, each left out of its own neighbours.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -18,170 +18,175 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pairflow.llm.common import remainder, whole_text
+from pairflow.llm.common import remainder, whole_text, with_text_key
 from pairflow.operators.sizing import measured
 from pairflow.session import ensure_checkpoint_dir
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 WORD = re.compile(r"[^\W\d_]+")
-STEMS = (3, 4, 5, 6, 7, 8)
-#: Bounds of the model that every task holds.
-MAX_TERMS, MAX_EXAMPLES = 512, 2048
-#: A term tells labels apart at a likelihood ratio (chance: one term in a million) and a log odds ratio of at least these.
-LEAST_RATIO, LEAST_ODDS = 24.0, 2.0
+#: Bound of the labelled rows that every task holds.
+MAX_EXAMPLES = 2048
+#: Factor of a word that tells nothing about the label, and the likelihood ratio (chance: one word in a million) that counts half.
+LEAST, HALF_RATIO = 0.02, 24.0
 NEIGHBOURS, BLOCK = 15, 64
-#: Weight of the last component, which stands for all other words of a text.
-OTHER_WORDS = 0.3
-CACHE_WORDS = 300_000
-FLUSH_TERMS = 300_000
+#: Blocks that a query rates before it has a neighbour to beat.
+FIRST_BLOCKS = 4
+FLUSH_WORDS = 300_000
 
 
-def terms_of_word(word: str) -> tuple[str, ...]:
-    """The word, and its beginnings marked with a star."""
-    return (word, *(word[:n] + "*" for n in STEMS if len(word) >= n))
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
-class TermNumbers(dict):
-    """Numbers of the known terms of a word; forgets all words when it holds too many."""
-
-    def __init__(self, terms: list[str]):
-        super().__init__()
-        self.known = {t: k for k, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = tuple(self.known[t] for t in terms_of_word(word) if t in self.known)
-        return value
-
-    def count(self, text: str) -> tuple[Counter, int]:
-        """How often each known term occurs, and the number of words."""
-        words = WORD.findall(text.lower())
-        return Counter(k for hits in map(self.__getitem__, words) if hits for k in hits), len(words)
-
-
-def _count_labelled(batches):
-    """Documents of each label that hold a term, combined before they leave the task."""
+def _count_words(batches):
+    """Rows and toxic rows that hold a word, combined before they leave the task; the empty word counts all rows."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def rows():
-        terms = list(counts[0].keys() | counts[1].keys())
+        words = list(counts[0])
         return pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", "clean", "toxic"]
+            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "docs", "toxic"]
         )
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            counts[toxic].update({t for w in set(WORD.findall(text.lower())) for t in terms_of_word(w)})
-            if len(counts[0]) + len(counts[1]) > FLUSH_TERMS:
+            words = {"", *words_of(text)}
+            counts[0].update(words)
+            if toxic:
+                counts[1].update(words)
+            if len(counts[0]) > FLUSH_WORDS:
                 yield rows()
                 counts[0].clear()
                 counts[1].clear()
     yield rows()
 
 
-def telling_terms(train: DataFrame, most: int = MAX_TERMS) -> list[str]:
-    """Terms whose share of documents differs most between the labels: the ``most`` with the largest likelihood ratio."""
-    clean, toxic = train.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    if not clean or not toxic:
-        return []
-    counted = train.mapInArrow(_count_labelled, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    a, b = F.col("t") + 0.5, F.col("c") + 0.5
-    odds = F.log(a / (toxic + 1 - a)) - F.log(b / (clean + 1 - b))
-    rate = (F.col("t") + F.col("c")) / (toxic + clean)
-    part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / (rate * of))).otherwise(0.0)
-    ratio = 2 * (part(F.col("t"), toxic) + part(F.col("c"), clean) + part(toxic - F.col("t"), (1 - rate) / rate * toxic) + part(clean - F.col("c"), (1 - rate) / rate * clean))
-    told = counted.withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & (F.abs(odds) >= LEAST_ODDS))
-    return [r.term for r in told.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()]
+def word_weights(texts: DataFrame, train: DataFrame) -> DataFrame:
+    """word, weight of every word of ``texts`` (text): idf over all of them, times how well it tells the labels of ``train`` apart.
 
+    The second factor rises smoothly with the likelihood ratio of the word and the label, from
+    ``LEAST`` for a word that tells nothing or is in no labelled row, to 1; no word is left out.
+    """
+    count = lambda rows: rows.mapInArrow(_count_words, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    counts = count(texts.select("text", F.lit(0).alias("toxic"))).select("word", "docs").checkpoint()
+    told = count(train.select("text", "toxic")).select("word", F.col("docs").alias("seen"), "toxic").checkpoint()
+    docs = (counts.filter("word = ''").first() or ("", 0))[1]
+    _, n, toxic = told.filter("word = ''").first() or ("", 0, 0)
+    seen, bad = F.coalesce("seen", F.lit(0)), F.coalesce("toxic", F.lit(0))
+    rate = seen / F.lit(max(n, 1))
+    part = lambda got, of: F.when((got > 0) & (of > 0), got * F.log(got / of)).otherwise(0.0)
+    ratio = 2 * (
+        part(bad, rate * toxic) + part(seen - bad, rate * (n - toxic))
+        + part(toxic - bad, (1 - rate) * toxic) + part(n - toxic - seen + bad, (1 - rate) * (n - toxic))
+    )
+    ratio = F.greatest(ratio, F.lit(0.0))
+    idf = F.log((1 + F.lit(docs)) / (1 + F.col("docs"))) + 1
+    tells = LEAST + (1 - LEAST) * F.pow(ratio / (ratio + HALF_RATIO), 2)
+    return counts.filter("word <> ''").join(told, "word", "left").select("word", (idf * tells).alias("weight")).checkpoint()
 
-def document_counts(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """(documents, documents that hold each term), over all of ``texts``."""
 
-    def run(batches):
-        numbers, total, n = TermNumbers(terms), np.zeros(len(terms) + 1, dtype=np.int64), len(terms)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total[list(numbers.count(text)[0])] += 1
-                total[n] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(total)], names=["k", "docs"])
-
-    counts = np.zeros(len(terms) + 1, dtype=np.int64)
-    for k, docs in texts.select("text").mapInArrow(run, "k long, docs long").groupBy("k").agg(F.sum("docs")).collect():
-        counts[k] = docs
-    return int(counts[-1]), counts[:-1]
+def slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All positions of the given ranges, one range after the other."""
+    lengths = ends - starts
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
 class BlockMaxIndex:
-    """Inverted index of example vectors in blocks, with the largest weight of each term in each block."""
+    """Postings of example vectors by term, cut into blocks of examples with the largest weight of each."""
 
     def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: list):
-        kind = vectors.argmax(axis=1) if vectors.size else np.zeros(len(labels))
-        order = np.lexsort((np.arange(len(labels)), kind)) if len(labels) else np.empty(0, dtype=int)
-        self.vectors, self.labels, self.ids = vectors[order], labels[order], [ids[k] for k in order]
-        self.starts = np.arange(0, len(order), BLOCK)
-        self.bounds = np.maximum.reduceat(self.vectors, self.starts, axis=0) if len(order) else np.empty((0, vectors.shape[1]))
+        rows, terms = np.nonzero(vectors)
+        self._build(rows, terms, vectors[rows, terms], vectors.shape[1], labels, ids)
+
+    @classmethod
+    def of_postings(cls, rows, terms, weights, n_terms: int, labels: np.ndarray, ids: list) -> BlockMaxIndex:
+        made = cls.__new__(cls)
+        made._build(rows, terms, weights, n_terms, labels, ids)
+        return made
+
+    def _build(self, rows, terms, weights, n_terms, labels, ids):
+        n, kind = len(labels), np.zeros(len(labels), dtype=int)
+        rise = np.argsort(weights, kind="stable")
+        kind[rows[rise]] = terms[rise]  # the heaviest term of each example; like examples share blocks
+        order = np.lexsort((np.arange(n), kind))
+        place = np.empty(n, dtype=int)
+        place[order] = np.arange(n)
+        self.labels, self.ids = labels[order], [ids[k] for k in order]
+        rows = place[rows]
+        by_term = np.lexsort((rows, terms))
+        self.row, self.weight, terms = rows[by_term], weights[by_term], terms[by_term]
+        self.n_blocks = -(-n // BLOCK)
+        cut = np.flatnonzero(np.diff(terms * max(self.n_blocks, 1) + self.row // BLOCK, prepend=-1))
+        self.starts = np.append(cut, len(terms))
+        self.block = self.row[cut] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, cut) if len(cut) else np.empty(0)
+        self.first = np.searchsorted(terms[cut], np.arange(n_terms + 1))
+        # the vectors again, by example, to leave each out in turn
+        by_row = np.lexsort((terms, self.row))
+        self.row_terms, self.row_weights = terms[by_row], self.weight[by_row]
+        self.row_starts = np.searchsorted(self.row[by_row], np.arange(n + 1))
+
+    def vector(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.row_starts[k], self.row_starts[k + 1])
+        return self.row_terms[own], self.row_weights[own]
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine; of equal ones the first examples."""
-        bound = self.bounds[:, at] @ weights
-        found, cosines, worst = np.empty(0, dtype=int), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < worst - 1e-12):
-                break
-            start = self.starts[b]
-            close = self.vectors[start : start + BLOCK, at] @ weights
+        """(examples, products) of the k nearest with a positive product; of equal ones the first examples."""
+        at = np.asarray(at, dtype=int)
+        cells = slices(self.first[at], self.first[at + 1])
+        of = np.repeat(weights, self.first[at + 1] - self.first[at])
+        block = self.block[cells]
+        bound = np.bincount(block, weights=self.most[cells] * of, minlength=self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        found, products = np.empty(0, dtype=int), np.empty(0)
+        for turn in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            worst = products.min() if len(found) >= k else 0.0
+            wanted = np.zeros(self.n_blocks, dtype=bool)
+            wanted[turn[(bound[turn] > 0) & (bound[turn] >= worst - 1e-12)]] = True
+            use = wanted[block]
+            if not use.any():
+                continue
+            starts, ends = self.starts[cells[use]], self.starts[cells[use] + 1]
+            entries = slices(starts, ends)
+            close = np.bincount(self.row[entries], weights=self.weight[entries] * np.repeat(of[use], ends - starts), minlength=len(self.labels))
             hit = np.flatnonzero(close > 0)
-            hit = hit[hit + start != leave]
-            found, cosines = np.append(found, hit + start), np.append(cosines, close[hit])
+            hit = hit[hit != leave]
+            found, products = np.append(found, hit), np.append(products, close[hit])
             if len(found) > k:
-                top = np.lexsort((found, -np.round(cosines, 12)))[:k]
-                found, cosines = found[top], cosines[top]
-            if len(found) == k:
-                worst = cosines.min()
-        top = np.lexsort((found, -np.round(cosines, 12)))
-        return found[top], cosines[top]
+                least = np.partition(products, len(found) - k)[len(found) - k]
+                near = products >= least - 1e-9
+                found, products = found[near], products[near]
+                top = np.lexsort((found, -np.round(products, 12)))[:k]
+                found, products = found[top], products[top]
+        top = np.lexsort((found, -np.round(products, 12)))
+        return found[top], products[top]
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], idf: np.ndarray, index: BlockMaxIndex, rate: float, blank_rate: float, stands_for: np.ndarray, k: int = NEIGHBOURS):
-        self.numbers, self.terms, self.idf, self.index, self.k = TermNumbers(terms), terms, idf, index, k
+    def __init__(self, words: list[str], weights: np.ndarray, index: BlockMaxIndex, rate: float, blank_rate: float, stands_for: np.ndarray, k: int = NEIGHBOURS):
+        self.words, self.weights, self.index, self.k = words, weights, index, k
         self.rate, self.blank_rate, self.stands_for = rate, blank_rate, stands_for
         self.steps = None
 
-    def vote(self, at: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[float, list]:
+    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Weighted share of toxic neighbours; a weight falls with distance, and counts the rows that an example stands for."""
-        found, cosines = self.index.nearest(at, weights, self.k, leave)
-        w = self.stands_for[self.index.labels[found].astype(int)] * cosines / (1.02 - np.minimum(cosines, 1.0))
-        share = w @ self.index.labels[found] / w.sum() if len(found) else self.rate
-        return float(share), [(self.index.ids[k], round(float(c), 6)) for k, c in zip(found[:3], cosines[:3])]
+        labels = self.index.labels[found]
+        w = self.stands_for[labels.astype(int)] * cosines / (1.02 - np.minimum(cosines, 1.0))
+        return float(w @ labels / w.sum()) if len(found) else self.rate
 
     def calibrate(self) -> None:
         """Isotonic steps from votes to observed rates, from the examples, each without itself."""
-        labels, votes = self.index.labels, []
-        for k, v in enumerate(self.index.vectors):
-            at = np.flatnonzero(v)
-            votes.append(self.vote(at, v[at], leave=k)[0])
+        labels = self.index.labels
+        votes = [self.vote(*self.index.nearest(*self.index.vector(k), self.k, leave=k)) for k in range(len(labels))]
         self.steps = isotonic(np.array(votes), labels, self.stands_for[labels.astype(int)])
 
-    def score(self, text: str) -> tuple[float, list]:
-        counts, n = self.numbers.count(text)
-        if not counts:
-            return self.blank_rate, []
-        at = sorted(counts)
-        at, weights = weigh(at, [counts[k] for k in at], n, self.idf)
-        share, evidence = self.vote(at, weights)
+    def score(self, found: np.ndarray, cosines: np.ndarray) -> float:
+        share = self.vote(found, cosines)
         x, y = self.steps
         # steps give the rate; a little of the vote keeps the order within a step
-        return float(min(1.0, max(0.0, 0.98 * np.interp(share, x, y) + 0.02 * share))) if len(x) else share, evidence
-
-
-def weigh(at: list[int], counts: list[int], n_words: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Components and unit vector of a text: tf * idf of known terms, and the norm of the other words as one more."""
-    w = np.append(np.array(counts, dtype=float) * idf[at], OTHER_WORDS * math.sqrt(n_words))
-    return np.append(np.array(at, dtype=int), len(idf)), w / math.sqrt(float(w @ w))
+        return float(min(1.0, max(0.0, 0.98 * np.interp(share, x, y) + 0.02 * share))) if len(x) else share
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,51 +201,59 @@ def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
 
-def fit_toxicity(texts: DataFrame, train: DataFrame, most_terms: int = MAX_TERMS, most_examples: int = MAX_EXAMPLES) -> ToxicityModel:
-    """Model from labelled rows ``train`` (doc_id, text, toxic) and document counts over ``texts`` (text).
+def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_EXAMPLES) -> ToxicityModel:
+    """Model from labelled rows ``train`` (doc_id, text, toxic) and the weights of all words.
 
-    The index holds at most ``most_examples`` rows that have a known term, half of each
-    label if there are as many, in the order of a hash of id and text.
+    The index holds at most ``most_examples`` rows that have a word, half of each label if
+    there are as many, in the order of a hash of id and text, with all their words.
     """
-    terms = telling_terms(train, most_terms)
-    docs, counts = document_counts(texts, terms)
-    idf = np.log((1 + docs) / (1 + counts)) + 1
-    numbers = TermNumbers(terms)
 
     def vectors(batches):
         for batch in batches:
-            counted = [numbers.count(t) for t in batch.column("text").to_pylist()]
-            found = [sorted(c.items()) for c, _ in counted]
+            found = [sorted(Counter(words_of(t)).items()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("toxic"),
-                    batch.column("rank"),
-                    pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())),
-                    pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32())),
-                    pa.array([n for _, n in counted], pa.int32()),
-                ],
-                names=["doc_id", "toxic", "rank", "at", "n", "words"],
+                [batch.column("doc_id"), batch.column("rank"), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))],
+                names=["doc_id", "rank", "words", "n"],
+            )
+
+    def has_word(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array([bool(WORD.search(t)) for t in batch.column("text").to_pylist()], pa.bool_())],
+                names=["doc_id", "text", "toxic", "worded"],
             )
 
     kind = train.schema["doc_id"].dataType.simpleString()
-    ranked = train.select("doc_id", "text", "toxic", F.xxhash64("doc_id", "text").alias("rank"))
-    vectored = ranked.mapInArrow(vectors, f"doc_id {kind}, toxic int, rank long, at array<int>, n array<int>, words int").checkpoint()
-    has_term = F.size("at") > 0
-    total, toxic, blank, blank_toxic = vectored.agg(F.count("*"), F.sum("toxic"), F.count_if(~has_term), F.sum(F.when(~has_term, F.col("toxic")))).first()
-    rows = []
+    seen = train.select("doc_id", "text", "toxic").mapInArrow(has_word, f"doc_id {kind}, text string, toxic int, worded boolean")
+    ranked = seen.select("doc_id", "toxic", "worded", F.xxhash64("doc_id", "text").alias("rank")).checkpoint()
+    total, toxic, blank, blank_toxic = ranked.agg(F.count("*"), F.sum("toxic"), F.count_if(~F.col("worded")), F.sum(F.when(~F.col("worded"), F.col("toxic")))).first()
+    chosen = None
     for label in (0, 1):
-        of = vectored.filter(has_term & (F.col("toxic") == label))
-        rows += of.orderBy("rank", "doc_id").limit(most_examples // 2).collect()
-    matrix = np.zeros((len(rows), len(terms) + 1))
-    for k, r in enumerate(rows):
-        at, weights = weigh(r["at"], r["n"], r["words"], idf)
-        matrix[k, at] = weights
-    index = BlockMaxIndex(matrix, np.array([r["toxic"] for r in rows], dtype=float), [r["doc_id"] for r in rows])
-    with_term = np.array([total - blank - (toxic or 0) + (blank_toxic or 0), (toxic or 0) - (blank_toxic or 0)])
-    stands_for = with_term / np.maximum(np.bincount([r["toxic"] for r in rows], minlength=2), 1)
+        of = ranked.filter(F.col("worded") & (F.col("toxic") == label)).orderBy("rank", "doc_id").limit(most_examples // 2)
+        chosen = of if chosen is None else chosen.unionByName(of)
+    chosen = chosen.select("doc_id", "toxic", "rank").checkpoint()
+    texts = train.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rank")).join(measured(chosen.select("rank").distinct()), "rank", "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "rank"]).select("doc_id", "rank", "text")  # of equal rows one is fetched
+    words_by = {r[:2]: r[2:] for r in texts.mapInArrow(vectors, f"doc_id {kind}, rank long, words array<string>, n array<int>").collect()}
+    rows = [(r["doc_id"], r["toxic"], *words_by[r["doc_id"], r["rank"]]) for r in chosen.orderBy("toxic", "rank", "doc_id").collect()]
     rate = ((toxic or 0) + 0.5) / ((total or 0) + 1)
-    model = ToxicityModel(terms, idf, index, rate, ((blank_toxic or 0) + 0.5 * rate) / ((blank or 0) + 0.5), stands_for)
+    blank_rate = ((blank_toxic or 0) + 0.5 * rate) / ((blank or 0) + 0.5)
+    if not toxic or toxic == total:
+        rows, blank_rate = [], rate
+    words = sorted({w for r in rows for w in r[2]})
+    number = {w: k for k, w in enumerate(words)}
+    wanted = weights.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    held = dict(tuple(r) for r in weights.join(measured(wanted), "word").select("word", "weight").collect())
+    of_word = np.array([held[w] for w in words], dtype=float)
+    row_of = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]).astype(int)
+    term_of = np.array([number[w] for r in rows for w in r[2]], dtype=int)
+    weight = np.array([n for r in rows for n in r[3]], dtype=float) * of_word[term_of]
+    norms = np.sqrt(np.bincount(row_of, weights=weight**2, minlength=len(rows)))
+    labels = np.array([r[1] for r in rows], dtype=float)
+    index = BlockMaxIndex.of_postings(row_of, term_of, weight / norms[row_of], len(words), labels, [r[0] for r in rows])
+    with_word = np.array([total - blank - (toxic or 0) + (blank_toxic or 0), (toxic or 0) - (blank_toxic or 0)])
+    stands_for = with_word / np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
+    model = ToxicityModel(words, of_word, index, rate, blank_rate, stands_for)
     model.calibrate()
     return model
 
@@ -248,23 +261,62 @@ def fit_toxicity(texts: DataFrame, train: DataFrame, most_terms: int = MAX_TERMS
 _models: dict = {}
 
 
-def scorer(model: ToxicityModel, spark):
-    """Column function of a text column: struct of score and evidence (doc_id, cosine of the nearest examples)."""
-    token, state = uuid.uuid4().hex, model.__dict__ | {"numbers": None}
-    shared = spark.sparkContext.broadcast(state)
+def _search(token: str, shared, columns: list[str]):
+    """For each row its nearest examples by product, the squared norm of the words of examples, and the other words."""
 
-    @F.pandas_udf("score double, evidence array<struct<doc_id:string,cosine:double>>")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
         if token not in _models:
             _models.clear()
-            made = ToxicityModel.__new__(ToxicityModel)
-            made.__dict__ = shared.value | {"numbers": TermNumbers(shared.value["terms"])}
-            _models[token] = made
-        scored = [_models[token].score(t) for t in texts]
-        evidence = [[{"doc_id": str(i), "cosine": c} for i, c in e] for _, e in scored]
-        return pd.DataFrame({"score": [s for s, _ in scored], "evidence": evidence})
+            _models[token] = shared.value, {w: k for k, w in enumerate(shared.value.words)}
+        model, number = _models[token]
+        for batch in batches:
+            out = [[] for _ in range(6)]
+            for text in batch.column("text").to_pylist():
+                at, times, other, other_times = [], [], [], []
+                for word, n in Counter(words_of(text)).items():
+                    k = number.get(word)
+                    (other if k is None else at).append(word if k is None else k)
+                    (other_times if k is None else times).append(n)
+                weights = np.array(times, dtype=float) * model.weights[at] if at else np.empty(0)
+                found, products = model.index.nearest(np.array(at, dtype=int), weights, model.k) if at else ([], [])
+                for into, value in zip(out, (bool(at or other), list(found), list(products), float(weights @ weights), other, other_times)):
+                    into.append(value)
+            types = (pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+            found = [pa.array(values, kind) for values, kind in zip(out, types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *found], names=[*columns, "worded", "found", "products", "known", "other", "times"])
+
+    return run
+
+
+def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """doc_id, text_key, held_out, s (score and evidence) of each row, by a model fitted on the labelled rows that are not held out."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    train = labelled(docs, labels, id_col, text, label)
+    weights = word_weights(docs.select(whole_text(docs, text).alias("text")), train)
+    model = fit_toxicity(weights, train)
+    shared = spark.sparkContext.broadcast(model)
+    keyed = with_text_key(docs, id_col, text, (remainder(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"))
+    columns, kind = ["doc_id", "text_key", "held_out"], docs.schema[id_col].dataType.simpleString()
+    searched = keyed.mapInArrow(
+        _search(uuid.uuid4().hex, shared, columns),
+        f"doc_id {kind}, text_key long, held_out boolean, worded boolean, found array<int>, products array<double>, known double, other array<string>, times array<int>",
+    )
+    searched = searched.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    others = searched.select("row", F.explode(F.arrays_zip("other", "times")).alias("o")).select("row", F.col("o.other").alias("word"), F.col("o.times").alias("n"))
+    rest = others.join(weights, "word").groupBy("row").agg(F.sum(F.pow(F.col("n") * F.col("weight"), 2)).alias("rest"))
+
+    @F.pandas_udf("score double, evidence array<struct<doc_id:string,cosine:double>>")
+    def score(worded: pd.Series, found: pd.Series, products: pd.Series, squared: pd.Series) -> pd.DataFrame:
+        model, scores, evidence = shared.value, [], []
+        for has_word, near, close, norm in zip(worded, found, products, squared):
+            near, cosines = np.asarray(near, dtype=int), np.asarray(close, dtype=float) / np.sqrt(norm or 1.0)
+            scores.append(model.score(near, cosines) if has_word else model.blank_rate)
+            evidence.append([{"doc_id": str(model.index.ids[k]), "cosine": round(float(c), 6)} for k, c in zip(near[:3], cosines[:3])])
+        return pd.DataFrame({"score": scores, "evidence": evidence})
 
-    return score
+    joined = searched.drop("other", "times").join(rest, "row", "left")
+    return joined.select(*columns, score("worded", "found", "products", F.col("known") + F.coalesce("rest", F.lit(0.0))).alias("s"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
@@ -280,28 +332,18 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
     return texts.filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).join(measured(one), "doc_id").select("doc_id", "text", "toxic")
 
 
-def fitted_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """Fit on the labelled rows that are not held out; a column function of the text."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    train = labelled(docs, labels, id_col, text, label)
-    texts = docs.select(whole_text(docs, text).alias("text"))
-    return scorer(fit_toxicity(texts, train), docs.sparkSession)
-
-
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence.
 
     Labels count only where crc32(id as text) % 3 is not 1; an id labelled both 0 and 1, a null
-    label and a null id teach nothing.  ``score`` is in 0..1; a text without known terms, such
-    as a null or empty one, gets the rate of such training rows.  ``evidence`` names the
-    nearest examples and their cosines.  Repeated rows each come back and count as documents.
-    Without labels of both kinds every score is the rate; an empty table gives no rows.
-    Other columns are not read.  Runs jobs when called.
+    label and a null id teach nothing.  ``score`` is in 0..1; a text without words, such as a
+    null or empty one, gets the rate of such training rows; one that shares no word with an
+    example has no neighbours and votes as the training rows do on average.  ``evidence``
+    names the nearest examples and their cosines.  Repeated rows each come back and count as
+    documents.  Without labels of both kinds every score is the rate; an empty table gives no
+    rows.  Other columns are not read.  Runs jobs when called.
     """
-    score = fitted_scorer(docs, labels, id_col, text, label)
-    scored = docs.select(
-        docs[id_col].alias("doc_id"), (remainder(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"), score(whole_text(docs, text)).alias("s")
-    )
-    return scored.select("doc_id", "held_out", "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"), "s.evidence")
+    rates = toxicity_rates(docs, labels, id_col, text, label)
+    return rates.select("doc_id", "held_out", "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"), "s.evidence")

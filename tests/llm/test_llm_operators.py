@@ -298,6 +298,34 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosines, best[best > 0][:10])
 
 
+def test_toxicity_uses_all_words(spark):
+    rng, rows = random.Random(12), []
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(2500)]
+    for k in range(240):
+        words = rng.choices(vocabulary, k=rng.randint(15, 40)) + ["rare" + vocabulary[k]] + ["vile"] * (k % 4 == 0)
+        rows.append((k, " ".join(words), "en", "s", 0))
+    rows += [(900, "unheard", "en", "s", 0), (901, "12 34", "en", "s", 0), (902, None, "en", "s", 0)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(240)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(frame(spark, rows), labels).collect()}
+    counts = {r[0]: Counter(re.findall(r"[^\W\d_]+", (r[1] or "").lower())) for r in rows}
+    docs = Counter(w for c in counts.values() for w in c)
+    train = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def weight(w):
+        table = [[sum((w in counts[i]) == held and (i % 4 == 0) == toxic for i in train) for toxic in (0, 1)] for held in (0, 1)]
+        ratio = 2 * sum(x * math.log(x * len(train) / sum(row) / sum(col)) for row in table for x, col in zip(row, zip(*table)) if x)
+        return (math.log((1 + len(rows)) / (1 + docs[w])) + 1) * (0.02 + 0.98 * (ratio / (ratio + 24)) ** 2)
+
+    weights = {w: weight(w) for w in docs}
+    vector = {i: {w: n * weights[w] for w, n in c.items()} for i, c in counts.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    for i in range(240):
+        cosines = [sum(x * vector[j].get(w, 0) for w, x in vector[i].items()) / norm[i] / norm[j] for j in train]
+        best = sorted((c for c in cosines if c > 0), reverse=True)[:3]
+        assert np.allclose([e.cosine for e in got[i].evidence], best, atol=1e-6)
+    assert got[900].evidence == got[901].evidence == got[902].evidence == [] and got[901].score == got[902].score
+
+
 def test_settle_keeps_words_and_expectation():
     rng = np.random.default_rng(0)
     size, p = np.sort(rng.integers(1, 500, 200))[::-1].astype(float), rng.random(200)
