@@ -20,6 +20,7 @@ from pairflow.llm.line_dedup import line_dedup
 from pairflow.llm.minhash import near_duplicates
 from pairflow.llm.mixing import mix_sources
 from pairflow.llm.toxicity import THRESHOLD, toxicity_rates
+from pairflow.operators.ordering import row_index
 from pairflow.operators.sizing import measured
 from pairflow.session import scratch_path
 
@@ -43,19 +44,30 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cleaned.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_key", F.xxhash64(whole_text(docs)))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return by_id(docs, near_duplicates(docs).filter("kept"))
+    """Each text of an id, and of no id, is a document of its own; rows that repeat both are one."""
+    rows = keyed(docs)
+    keys = row_index(rows.select("doc_id", "text_key").distinct(), [F.col("doc_id").asc_nulls_last(), F.col("text_key")], "row")
+    numbered = rows.alias("d").join(measured(keys).alias("k"), same_document("d", "k")).select(*[F.col(f"d.{c}") for c in COLUMNS], "k.row")
+    kept = near_duplicates(numbered, "row").filter("kept").select(F.col("doc_id").alias("row")).distinct()
+    stay = numbered.join(measured(kept), "row", "left_semi")
+    one = stay.groupBy("row").agg(F.min(F.struct("source", "lang", "n_chars", "doc_id", "text")).alias("one"))
+    return one.select(*[F.col(f"one.{c}") for c in COLUMNS])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return by_id(docs, found.filter(~F.col("contaminated")))
+    clean = found.filter(~F.col("contaminated")).select("doc_id", "text_key").distinct()
+    return keyed(docs).alias("d").join(clean.alias("k"), same_document("d", "k"), "left_semi").select(*COLUMNS)
 
 
-def by_id(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``stay``; null ids match each other."""
-    stay = stay.select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi").select(*COLUMNS)
+def same_document(a: str, b: str):
+    """Join condition of two aliases by text and id; null ids match each other."""
+    return F.expr(f"{a}.text_key = {b}.text_key and {a}.doc_id <=> {b}.doc_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

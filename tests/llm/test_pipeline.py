@@ -82,3 +82,17 @@ def test_stages(spark, folder, tmp_path):
 
     again = Counter(r.doc_id for r in corpus_pipeline.run(spark, out).collect())
     assert again == copies
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices([f"v{k}" for k in range(400)], k=40))
+    item = " ".join(f"b{k}" for k in range(12))
+    clean, other, third, bad = text(), text(), text(), [f"{text()} {item}" for _ in range(3)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, clean), (None, bad[0]), (None, bad[1]), (7, other), (7, bad[2]), (8, third), (8, third), (None, third), (None, clean), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect())
+    assert got == Counter((i, t) for i, t in rows if t not in bad)
+    near = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert near == Counter([(None, clean), (None, bad[0]), (None, bad[1]), (7, other), (7, bad[2]), (8, third), (None, "")])
