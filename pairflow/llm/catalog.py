@@ -12,10 +12,13 @@ from pairflow.llm.lattice import lattice_scores
 from pairflow.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from pairflow.llm.minhash import near_duplicates
 from pairflow.llm.mixing import mix_sources
+from pairflow.llm.packing import pack_documents
 from pairflow.llm.pii import find_personal_data
+from pairflow.llm.spelling import spelling_variants
 from pairflow.llm.substring_dedup import remove_repeats
 from pairflow.llm.toxicity import toxicity_scores
 from pairflow.llm.url_filter import RULE_SCHEMA, filter_urls
+from pairflow.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +195,20 @@ def op9(spark, folder):
 def op10(spark, folder):
     found = find_personal_data(table(spark, folder, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op11_spelling_variants")
+def op11(spark, folder):
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark, folder):
+    return whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark, folder):
+    import public_tokenizers
+
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
