@@ -163,6 +163,7 @@ def solve_configurations(counts: dict[int, int], capacity: int, rounds: int = RO
         price = np.full(capacity + 1, -np.inf)
         price[lengths] = np.exp(log_price) * (1 + 1e-7 * lengths / capacity)  # of equal values, the longer piece
         most, with_ = best_fill(price, capacity)
+        # no configuration is worth more than the best, so sequences number at least what all pieces are worth over it
         bound = max(bound, float((wanted * price[lengths]).sum() / most[capacity]))
         room = np.maximum(t / rounds - covered, 0) * wanted
         last = np.maximum.accumulate(np.where(with_ > 0, np.arange(capacity + 1), 0))
