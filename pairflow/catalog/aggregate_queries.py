@@ -37,10 +37,10 @@ def _(t):
 @query("d4_limit_groups", f"""
 WITH {OBS}, good AS (
   SELECT m1, m2, temperature_k FROM obs GROUP BY 1, 2, 3
-  HAVING min(ln_gamma_1) >= -2 AND max(ln_gamma_1) < 1.5 AND min(ln_gamma_2) >= -2 AND max(ln_gamma_2) < 1.8)
+  HAVING min(ln_gamma_1) >= -3 AND max(ln_gamma_1) < 1.56 AND min(ln_gamma_2) >= -2 AND max(ln_gamma_2) < 1.95)
 SELECT row_id, m1, m2, temperature_k FROM obs JOIN good USING (m1, m2, temperature_k)""")
 def _(t):
-    bounds = {"ln_gamma_1": (-2.0, 1.5), "ln_gamma_2": (-2.0, 1.8)}
+    bounds = {"ln_gamma_1": (-3.0, 1.56), "ln_gamma_2": (-2.0, 1.95)}
     return d.limit_groups(obs(t), ["m1", "m2", "temperature_k"], bounds).select("row_id", "m1", "m2", "temperature_k")
 
 

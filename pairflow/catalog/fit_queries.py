@@ -10,7 +10,9 @@ from pairflow.catalog.registry import query, round_columns, rounded
 from pairflow.catalog.views import OBS, ROLES, obs, roles
 from pairflow.operators import fits as i
 from pairflow.operators.groups import apply_per_group
+from pairflow.operators.nrtl import fit_nrtl
 from pairflow.operators.reports import compare_fits
+from pairflow.operators.sizing import measured
 from pairflow.operators.splits import assign_pair_splits
 from pairflow.plans.jobs import fit_job
 from pairflow.schema import GROUP_KEYS, coefficient_names
@@ -91,20 +93,30 @@ SELECT row_id, round(fitted, 5) + 0.0 AS fitted FROM gf JOIN status USING (m1, m
 def _(t):
     o = obs(t)
     fits = i.fit_polynomial(o).filter("status_0 = 'ok'")
-    values = i.eval_polynomial(o.join(fits, GROUP_KEYS))
+    values = i.eval_polynomial(o.join(measured(fits), GROUP_KEYS))
     return values.select("row_id", rounded("ln_gamma_1_pred", 5).alias("fitted"))
 
 
+def _figures(k: int) -> str:
+    """Rounded figures of a target; NULL where the residual is too small for them to be the same in two engines."""
+    known = f"CASE WHEN x{k} > 1e-3 THEN {{}} END"
+    return ", ".join([
+        known.format(f"round(x{k}, 5)") + f" AS chisqr_{k}",
+        known.format(f"round(n * ln(x{k} / n) + 10, 4)") + f" AS aic_{k}",
+        known.format(f"round(n * ln(x{k} / n) + 5 * ln(n), 4)") + f" AS bic_{k}",
+    ])
+
+
 @query("i2_fit_statistics", f"""
 WITH {FITTED}, {STATISTICS}
-SELECT m1, m2, temperature_k, round(x0, 5) AS chisqr_0, round(x1, 5) AS chisqr_1,
-       round(n * ln(x0 / n) + 10, 4) AS aic_0, round(n * ln(x1 / n) + 10, 4) AS aic_1,
-       round(n * ln(x0 / n) + 5 * ln(n), 4) AS bic_0, round(n * ln(x1 / n) + 5 * ln(n), 4) AS bic_1
-FROM chi WHERE n >= 8 AND x0 > 1e-3 AND x1 > 1e-3""")
+SELECT m1, m2, temperature_k, {_figures(0)}, {_figures(1)} FROM status LEFT JOIN chi USING (m1, m2, temperature_k)""")
 def _(t):
-    out = fit_job(obs(t)).filter("n_rows >= 8 AND chisqr_0 > 1e-3 AND chisqr_1 > 1e-3")
-    names = [f"{s}_{k}" for s in ("aic", "bic") for k in (0, 1)]
-    return round_columns(round_columns(out.select(*GROUP_KEYS, "chisqr_0", "chisqr_1", *names), names, 4), ["chisqr_0", "chisqr_1"], 5)
+    out = fit_job(obs(t))
+    places = {"chisqr": 5, "aic": 4, "bic": 4}
+    stable = [
+        F.when(F.col(f"chisqr_{k}") > 1e-3, rounded(f"{s}_{k}", n)).alias(f"{s}_{k}") for k in (0, 1) for s, n in places.items()
+    ]
+    return out.select(*GROUP_KEYS, *stable)
 
 
 @query("i3_widen_coefficients", f"""
@@ -141,7 +153,7 @@ def _(t):
 
 
 # One shared alpha; the same axes, steps and bounds as the operator's defaults.
-def _nrtl_sql(objective: str, alpha: list[float], tau: list[float]) -> str:
+def _nrtl_sql(objective: str, alpha: list[float], tau: list[float], result: str = "min(round(cost, 6)) + 0.0 AS objective") -> str:
     f1 = "pow(x2, 2) * (t21 * pow(g21 / nullif(x1 + x2 * g21, 0), 2) + t12 * g12 / nullif(pow(x2 + x1 * g12, 2), 0))"
     f2 = "pow(x1, 2) * (t12 * pow(g12 / nullif(x2 + x1 * g12, 0), 2) + t21 * g21 / nullif(pow(x1 + x2 * g21, 2), 0))"
     big = 1.7976931348623157e308
@@ -160,18 +172,19 @@ xs AS (SELECT DISTINCT x1, x2 FROM lv),
 g AS (SELECT *, exp(-a * t12) AS g12, exp(-a * t21) AS g21 FROM axes, xs),
 raw AS (SELECT k, a, t12, t21, x1, {f1} AS r1, {f2} AS r2 FROM g),
 model AS (SELECT k, a, t12, t21, x1, {clean.format('r1', big)} AS m1, {clean.format('r2', big)} AS m2 FROM raw),
-total AS (SELECT e1, e2, temperature_k, k, a, t12, t21, round(sum({cost}), 6) AS cost FROM lv JOIN model USING (x1) GROUP BY ALL)
-SELECT e1 AS m1, e2 AS m2, temperature_k, min(cost) + 0.0 AS objective FROM total GROUP BY ALL"""
+total AS (SELECT e1, e2, temperature_k, k, a, t12, t21, sum({cost}) AS cost FROM lv JOIN model USING (x1) GROUP BY ALL)
+SELECT e1 AS m1, e2 AS m2, temperature_k, {result} FROM total GROUP BY e1, e2, temperature_k"""
 
 
 _ALPHA, _TAU = [0.2, 0.4], [-3.0, -1.0, -0.3, 0.0, 0.3, 1.0, 3.0]
 
 
+def _grid_fits(t, objective):
+    return i.fit_nrtl_grid(obs(t), objective=objective, single_alpha=True, alpha_axis=_ALPHA, tau_axis=_TAU, refinements=0)
+
+
 def _nrtl(t, objective):
-    fits = i.fit_nrtl_grid(
-        obs(t), objective=objective, single_alpha=True, alpha_axis=_ALPHA, tau_axis=_TAU, refinements=0
-    )
-    return round_columns(fits.select(*GROUP_KEYS, "objective"), ["objective"], 6)
+    return round_columns(_grid_fits(t, objective).select(*GROUP_KEYS, "objective"), ["objective"], 6)
 
 
 @query("i5_fit_nrtl_grid", _nrtl_sql("stacked", _ALPHA, _TAU))
@@ -186,8 +199,14 @@ def _(t):
 
 @query("i5_fit_nrtl_refined")
 def _(t):
-    """Four free parameters over the default axes, and one refinement."""
-    return i.fit_nrtl_grid(obs(t))
+    """Four free parameters, from the grid's winners to convergence, with their status."""
+    return fit_nrtl(obs(t), tau_axis=[-10.0, -3.0, -1.0, 0.0, 1.0, 3.0, 10.0])
+
+
+@query("i5_fit_nrtl_grid_parameters", _nrtl_sql("stacked", _ALPHA, _TAU, "min_by({'a': a, 't12': t12, 't21': t21}, (round(cost, 9), k)) AS p").replace(
+    "SELECT e1 AS m1", "SELECT m1, m2, temperature_k, p.a AS a12, p.a AS a21, p.t12 AS t12, p.t21 AS t21 FROM (SELECT e1 AS m1") + ")")
+def _(t):
+    return _grid_fits(t, "stacked").select(*GROUP_KEYS, *i.NRTL_PARAMETERS)
 
 
 @query("i6_evaluate_nrtl", f"""
@@ -205,19 +224,24 @@ def _(t):
     return round_columns(i.evaluate_nrtl(o, parameters), ["ln_gamma_1_mae", "ln_gamma_2_mae"])
 
 
+_F1 = "pow(1 - x1, 2) * (t21 * pow(g21 / (x1 + (1 - x1) * g21), 2) + t12 * g12 / pow((1 - x1) + x1 * g12, 2))"
+_FITTED_NRTL = _nrtl_sql("stacked", _ALPHA, _TAU, "min_by({'a': a, 't12': t12, 't21': t21}, (round(cost, 9), k)) AS p")
+
+
 @query("i7_compare_fits", f"""
 WITH {FITTED}, {CURVES},
+nrtl AS ({_FITTED_NRTL}),
 poly AS (SELECT avg(abs(ln_gamma_1 - p1)) AS mae FROM curve_values GROUP BY m1, m2, temperature_k),
-flat AS (SELECT avg(abs(ln_gamma_1 - a * pow(1 - x1, 2))) AS mae FROM obs, (SELECT 0.5::DOUBLE AS a) GROUP BY m1, m2, temperature_k)
+factors AS (SELECT m1, m2, temperature_k, p.t12 AS t12, p.t21 AS t21, exp(-p.a * p.t12) AS g12, exp(-p.a * p.t21) AS g21 FROM nrtl),
+two AS (SELECT avg(abs(ln_gamma_1 - {_F1})) AS mae FROM obs JOIN factors USING (m1, m2, temperature_k) GROUP BY m1, m2, temperature_k)
 SELECT model, CAST(floor(mae / 0.1) AS INTEGER) AS bin, count(*) AS n FROM (
-  SELECT 'Polynomial' AS model, mae FROM poly UNION ALL SELECT 'NRTL', mae FROM flat) WHERE mae < 0.5 GROUP BY 1, 2""")
+  SELECT 'Polynomial' AS model, mae FROM poly UNION ALL SELECT 'NRTL', mae FROM two) WHERE mae < 0.5 GROUP BY 1, 2""")
 def _(t):
-    """Error distributions of two fits; the second is the two-liquid model at alpha 0."""
+    """Error distributions of the quartic and of the two-liquid model, each with its own fit of every group."""
     o = obs(t)
     fits = i.fit_polynomial(o).filter("status_0 = 'ok' AND status_1 = 'ok'")
-    parameters = o.select(*GROUP_KEYS).distinct().withColumns({"a12": F.lit(0.0), "a21": F.lit(0.0), "t12": F.lit(0.25), "t21": F.lit(0.25)})
     edges = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
-    out = compare_fits(i.polynomial_mae(o, fits), i.evaluate_nrtl(o, parameters), "ln_gamma_1_mae", 0.5, edges=edges)
+    out = compare_fits(i.polynomial_mae(o, fits), i.evaluate_nrtl(o, _grid_fits(t, "stacked")), "ln_gamma_1_mae", 0.5, edges=edges)
     return out.filter("n > 0").select("model", "bin", "n")
 
 

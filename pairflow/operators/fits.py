@@ -275,9 +275,9 @@ def _objective(i1: tuple[str, str, str], prediction: Column) -> Column:
 
 
 def _best(
-    levels: DataFrame, keys: list[str], x: str, n_points: int, parameters: dict[str, Column], objective: str
+    levels: DataFrame, keys: list[str], x: str, n_points: int, parameters: dict[str, Column], objective: str, winners: int = 1
 ) -> DataFrame:
-    """Best grid point per group: ``(keys, grid, cost)``.
+    """Best grid point per group: ``(keys, grid, cost)``; of more ``winners``, each is the best of a block of the grid.
 
     Levels are copied once per block of grid points and partitioned on (group,
     block); points are spread out and summed within the task, so only one winner per
@@ -308,9 +308,41 @@ def _best(
     summed = points.groupBy(*keys, "__block", "grid").agg(F.sum(cost).alias("cost"))
     rank = F.rint(F.col("cost") * F.lit(1e9))
     ranked = F.struct(rank.alias("rank"), "grid", "cost")
+    if winners > 1:
+        each = summed.groupBy(*keys, "__block").agg(F.min(ranked).alias("__best"))
+        ordered = F.slice(F.sort_array(F.collect_list("__best")), 1, winners)
+        return each.groupBy(*keys).agg(ordered.alias("__best")).select(*keys, F.inline("__best")).drop("rank")
     return summed.groupBy(*keys).agg(F.min(ranked).alias("__best")).select(*keys, "__best.grid", "__best.cost")
 
 
+def nrtl_levels(df: DataFrame, keys: list[str], x: str, targets: list[str]) -> DataFrame:
+    """Level statistics of the two targets (0, 1) and of their sum (2)."""
+    y1, y2 = targets
+    return level_statistics(df, keys, x, {"1": y1, "2": y2, "sum": F.col(y1) + F.col(y2)})
+
+
+def _grid(single_alpha: bool, alpha_axis: list[float], tau_axis: list[float]) -> tuple[int, list[Column], dict[str, Column]]:
+    """Number of grid points, and from the column ``grid`` the places on the axes and the parameters."""
+    na, nt = len(alpha_axis), len(tau_axis)
+    grid, a21_size = F.col("grid"), 1 if single_alpha else na
+    i_t21, i_t12 = _digit(grid, 1, nt), _digit(grid, nt, nt)
+    i_a21, i_a12 = _digit(grid, nt * nt, a21_size), _digit(grid, nt * nt * a21_size, na)
+    if single_alpha:
+        i_a21 = i_a12
+    values = [_at(alpha_axis, i_a12), _at(alpha_axis, i_a21), _at(tau_axis, i_t12), _at(tau_axis, i_t21)]
+    return na * a21_size * nt * nt, [i_a12, i_a21, i_t12, i_t21], dict(zip(NRTL_PARAMETERS, values))
+
+
+def grid_winners(
+    levels: DataFrame, keys: list[str], x: str, objective: str, single_alpha: bool, alpha_axis: list[float], tau_axis: list[float], winners: int
+) -> DataFrame:
+    """Parameters of the best grid points per group, best first: ``(keys, starts)``."""
+    n_points, _, parameters = _grid(single_alpha, alpha_axis, tau_axis)
+    best = _best(levels, keys, x, n_points, parameters, objective, winners).withColumns(parameters)
+    listed = F.sort_array(F.collect_list(F.struct(F.rint(F.col("cost") * F.lit(1e9)).alias("r"), "grid", F.array(*NRTL_PARAMETERS).alias("p"))))
+    return best.groupBy(*keys).agg(listed.alias("l")).select(*keys, F.col("l.p").alias("starts"))
+
+
 def fit_nrtl_grid(
     df: DataFrame,
     keys: list[str] = GROUP_KEYS,
@@ -330,23 +362,13 @@ def fit_nrtl_grid(
     """
     if objective not in ("stacked", "sum"):
         raise ValueError(f"unknown objective {objective!r}")
-    y1, y2 = targets
-    levels = level_statistics(df, keys, x, {"1": y1, "2": y2, "sum": F.col(y1) + F.col(y2)})
+    levels = nrtl_levels(df, keys, x, targets)
     if refinements:  # read again by every round
         ensure_checkpoint_dir(df.sparkSession)
         levels = levels.checkpoint()
-    na, nt = len(alpha_axis), len(tau_axis)
-    grid = F.col("grid")
-    a21_size = 1 if single_alpha else na
-    n_points = na * a21_size * nt * nt
-    i_t21, i_t12 = _digit(grid, 1, nt), _digit(grid, nt, nt)
-    i_a21, i_a12 = _digit(grid, nt * nt, a21_size), _digit(grid, nt * nt * a21_size, na)
-    if single_alpha:
-        i_a21 = i_a12
+    n_points, digits, parameters = _grid(single_alpha, alpha_axis, tau_axis)
     alpha_gap, tau_gap = _half_gap(alpha_axis, fixed.ALPHA_BOUNDS), _half_gap(tau_axis, fixed.TAU_BOUNDS)
-    parameters = {
-        "a12": _at(alpha_axis, i_a12), "a21": _at(alpha_axis, i_a21), "t12": _at(tau_axis, i_t12), "t21": _at(tau_axis, i_t21),
-    }
+    i_a12, i_a21, i_t12, i_t21 = digits
     steps = {
         "h_a12": _at(alpha_gap, i_a12), "h_a21": _at(alpha_gap, i_a21), "h_t12": _at(tau_gap, i_t12), "h_t21": _at(tau_gap, i_t21),
     }

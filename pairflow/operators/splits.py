@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from math import floor
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairflow.functions.scalars import any_of, is_true, seeded_hash
 from pairflow.operators.ordering import fraction_threshold, row_index
@@ -10,8 +12,8 @@ from pairflow.operators.sizing import measured
 from pairflow.schema import ENTITY_COLUMNS, ROW_ID
 from pairflow.session import ensure_checkpoint_dir
 
-# Clusters walked within one array; longer lists are walked array by array.
-FOLD_CHUNK = 2000
+# Clusters walked within one array; longer lists are walked in passes over spans of places.
+FOLD_CHUNK, SPAN = 2000, 1 << 16
 
 
 def _walk(clusters: Column, n_train: Column, n_valid: Column, train_cut: Column, valid_cut: Column) -> Column:
@@ -49,9 +51,9 @@ def greedy_cluster_split(
 
     A cluster goes to train if it still fits, else to valid if it fits, else to
     test; a later small cluster may still enter train.  Entities without a cluster stay,
-    with a NULL role.  Only cluster sizes are walked, checkpointed once.  They are numbered and cut into arrays of ``chunk``; the running sizes
-    at the start of every array are two numbers each, found array after array, and
-    then all arrays are walked at once.
+    with a NULL role.  Only cluster sizes are walked, checkpointed once.  Up to
+    ``chunk`` of them are walked in one array; more are walked by ``accepted``, in passes
+    whose number grows with the logarithm of the room, not with the clusters.
     """
     spark = entities.sparkSession
     ensure_checkpoint_dir(spark)
@@ -63,32 +65,61 @@ def greedy_cluster_split(
         .checkpoint()
     )
     n_clusters, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    train_cut = F.lit(train_size) * F.col("__total")
-    valid_cut = F.lit(train_size + valid_size) * F.col("__total")
-
+    train_cut, valid_cut = train_size * total, (train_size + valid_size) * total
     if n_clusters <= chunk:
-        numbered = sizes.withColumn("__chunk", F.lit(0).cast("long"))
+        listed = sizes.agg(F.sort_array(F.collect_list(F.struct("cluster", "size"))).alias("clusters"))
+        zero = F.lit(0)
+        walk = _walk(F.col("clusters"), zero, zero, F.lit(train_cut), F.lit(valid_cut))
+        roles = listed.select(walk.alias("walk")).select(F.inline("walk.roles"))
     else:
-        numbered = row_index(sizes, ["cluster"], "__i")
-        numbered = numbered.withColumn("__chunk", F.floor(F.col("__i") / F.lit(chunk)).cast("long"))
-    arrays = numbered.groupBy("__chunk").agg(
-        F.sort_array(F.collect_list(F.struct("cluster", "size"))).alias("__clusters")
-    ).checkpoint()
-
-    def walked(frame: DataFrame) -> DataFrame:
-        walk = _walk(F.col("__clusters"), F.col("__train"), F.col("__valid"), train_cut, valid_cut)
-        return frame.withColumn("__total", F.lit(total)).select(walk.alias("walk"))
-
-    state, states = (0, 0), [(0, 0, 0)]
-    for k in range(1, -(-n_clusters // chunk)):
-        one = arrays.filter(F.col("__chunk") == k - 1).withColumns({"__train": F.lit(state[0]), "__valid": F.lit(state[1])})
-        state = tuple(walked(one).select("walk.n_train", "walk.n_valid").first())
-        states.append((k, *state))
-    starts = spark.createDataFrame(states, "__chunk long, __train long, __valid long")
-    roles = walked(arrays.join(starts, "__chunk")).select(F.inline("walk.roles"))
+        numbered = row_index(sizes, ["cluster"], "place").checkpoint()
+        in_train = accepted(numbered, floor(train_cut))
+        known = numbered.withColumn("train", in_train)
+        in_valid = accepted(known, floor(valid_cut), F.col("train"))
+        role = F.when(F.col("train"), "train").when(in_valid, "valid").otherwise("test")
+        roles = known.select("cluster", role.alias("role"))
     return entities.join(roles.select(F.col("cluster").alias(cluster), F.col("role").alias(name)), cluster, "left")
 
 
+def accepted(numbered: DataFrame, room: int, forced: Column | None = None) -> Column:
+    """Which of the clusters (place, size) a walk in order takes while they fit into ``room``.
+
+    ``forced`` ones use up room in any case and are not asked.  In each pass no cluster above
+    a mark can be taken but the last of the pass, and all up to the mark are: as long as the
+    room stays above the mark, they fit.  The mark is the largest size that fits, or else half
+    the room, so a pass that ends halves the room at least.  A pass needs sums of sizes only:
+    over spans of places, then within spans.  The result is a chain of as many conditions as
+    there were passes.
+    """
+    taken = F.lit(False)
+    forced = F.lit(False) if forced is None else forced
+    rows = numbered.select("place", "size", forced.alias("forced"), F.floor(F.col("place") / SPAN).alias("span"))
+    start = 0
+    while room > 0:
+        ahead = rows.filter(F.col("place") >= start)
+        asked = ~F.col("forced")
+        largest = ahead.agg(F.max(F.when(asked & (F.col("size") <= room), F.col("size")))).first()[0]
+        if largest is None:
+            break
+        mark = largest if 2 * largest <= room else room // 2
+        sure = F.col("forced") | (F.col("size") <= mark)
+        used = ahead.withColumn("used", F.when(sure, F.col("size")).otherwise(F.lit(0)))
+        spans = used.groupBy("span").agg(F.sum("used").alias("in_span"))
+        before = spans.select("span", (F.sum("in_span").over(Window.orderBy("span")) - F.col("in_span")).alias("before"))
+        upto = F.sum("used").over(Window.partitionBy("span").orderBy("place"))
+        summed = used.withColumn("upto", upto).join(F.broadcast(before), "span").withColumn("upto", F.col("upto") + F.col("before"))
+        fits = asked & (F.col("size") > mark) & (F.col("upto") + F.col("size") <= room)
+        low = sure & (room - F.col("upto") <= mark)
+        end = summed.filter(fits | low).agg(F.min(F.struct("place", F.when(fits, F.col("upto") + F.col("size")).otherwise(F.col("upto")).alias("upto"))).alias("e")).first()["e"]
+        within = F.col("place") >= start
+        if end is None:
+            return taken | (within & ~forced & (F.col("size") <= mark))
+        last = end["place"]
+        taken = taken | (within & (F.col("place") <= last) & ~forced & ((F.col("size") <= mark) | ((F.col("place") == last) & (F.col("size") <= room))))
+        start, room = last + 1, room - end["upto"]
+    return taken
+
+
 def with_roles(
     obs: DataFrame, entities: DataFrame, key: str, role: str = "role", columns: list[str] = ENTITY_COLUMNS
 ) -> DataFrame:

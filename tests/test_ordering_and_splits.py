@@ -29,8 +29,8 @@ def test_row_index_is_dense_whatever_the_partitioning(spark, parts):
 
 def test_row_index_has_no_window_over_the_rows(spark, plan):
     text = plan(e.row_index(spark.range(1000), ["id"]))
-    # The one window numbers partitions, above their counts.
-    assert text.count("Window ") <= 1 and "HashAggregate" in text
+    # The one window numbers partitions; the rows only get their offset.
+    assert "Window " not in text and "Scan ExistingRDD" in text
 
 
 def test_batches_are_full_but_the_last(spark):
@@ -155,3 +155,39 @@ def test_generation_resumes(spark):
 def test_kelvin(spark):
     df = spark.createDataFrame([(0, 10.0), (1, 20.0)], "id int, bp double")
     assert generate_job(df, "id", "bp", units="C").agg(F.min("temperature_k")).first()[0] == pytest.approx(283.15)
+
+
+def walk_of(sizes, train_cut, valid_cut):
+    train = valid = 0
+    for s in sizes:
+        if train + s <= train_cut:
+            train += s
+            yield "train"
+        elif train + valid + s <= valid_cut:
+            valid += s
+            yield "valid"
+        else:
+            yield "test"
+
+
+@pytest.mark.parametrize("draw", [lambda r: r.choice([1, 2, 3, 20, 50]), lambda r: int(r.paretovariate(0.7)), lambda r: r.randint(1, 30)])
+def test_walk_in_passes_is_the_walk_in_order(spark, draw, monkeypatch):
+    monkeypatch.setattr(sp, "SPAN", 7)
+    rng = random.Random(9)
+    sizes = [draw(rng) for _ in range(60)]
+    train_cut, valid_cut = int(0.8 * sum(sizes)), int(0.87 * sum(sizes))
+    numbered = spark.createDataFrame(list(enumerate(sizes)), "place long, size long")
+    known = numbered.withColumn("train", sp.accepted(numbered, train_cut))
+    role = F.when(F.col("train"), "train").when(sp.accepted(known, valid_cut, F.col("train")), "valid").otherwise("test")
+    got = known.select("place", role.alias("role")).orderBy("place").collect()
+    assert [r.role for r in got] == list(walk_of(sizes, train_cut, valid_cut))
+
+
+def test_jobs_of_the_walk_do_not_grow_with_the_clusters(spark):
+    entities = spark.range(100_000).select("id", F.col("id").alias("cluster"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walk", "")
+    got = {r.role: r["count"] for r in sp.greedy_cluster_split(entities).groupBy("role").count().collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {"train": 80_000, "valid": 5_000, "test": 15_000}
+    assert len(tracker.getJobIdsForGroup("walk")) < 60
