@@ -10,7 +10,7 @@ from pairflow.operators.splits import assign_pair_splits
 from pairflow.session import scratch_path
 from pairflow.sources import readers as r
 from pairflow.sources import writers as w
-from pairflow.sources.blocks import parse_block_text, parse_blocks, format_blocks, write_block_folders
+from pairflow.sources.blocks import parse_block_lines, parse_block_text, parse_blocks, format_blocks, write_block_folders
 from pairflow.streaming.ingest import ingest_blocks_incremental
 
 CUSTOMER = T.StructType(
@@ -72,6 +72,13 @@ def _(t):
     return _parsed(parse_block_text(t.spark, path, ids="folder"))
 
 
+@query("a6_parse_block_lines", PARSED)
+def _(t):
+    path = scratch_path(t.spark, "blocks")
+    write_block_folders(obs(t), path)
+    return _parsed(parse_block_lines(t.spark, path, ids="folder"))
+
+
 @query("a6_parse_blocks", f"""
 WITH {OBS}
 SELECT row_id, block::INTEGER AS block, CAST(m1 AS VARCHAR) AS id_1, CAST(m2 AS VARCHAR) AS id_2, CAST(m1 AS VARCHAR) AS names_1,

@@ -40,7 +40,7 @@ part_dim AS (
 def obs(t: Tables) -> DataFrame:
     """Pair observations: supplier nation against customer nation."""
     joined = (
-        t.lineitem
+        t.lineitem.repartition("l_orderkey")  # the key of the first join
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))

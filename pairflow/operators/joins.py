@@ -177,9 +177,14 @@ def all_pairs(
     columns: list[str],
     suffixes: tuple[str, str] = ("_1", "_2"),
     block: int = 256,
+    start: int = 0,
+    stop: int | None = None,
 ) -> DataFrame:
     """All ``n choose 2`` pairs ``i < j`` with their lexicographic ``pair_index``.
 
+    Of a restart, only indices from ``start`` on and below ``stop`` are built: both bounds are
+    unranked to a pair, and entities that no pair between them has are left out of the join.
+
     Entities get a dense index and are cut into blocks; every unordered block pair
     is one join key, shared by at most ``block`` rows on each side.  So the work is
     an evenly spread equi-join which moves ``n*n/block`` entity rows, not the pairs.
@@ -188,33 +193,53 @@ def all_pairs(
     spark = df.sparkSession
     indexed = row_index(df.select(*dict.fromkeys([*order, *columns])), order, name="__i")
     n = indexed.count()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * n // 2 // PAIRS_PER_TASK)
+    all_ = n * (n - 1) // 2
+    start, stop = max(start, 0), all_ if stop is None else min(stop, all_)
+    wanted = max(stop - start, 0)
+    first, last_i = (unrank_pair(k, n)[0] if wanted else n for k in (start, max(stop - 1, 0)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted // PAIRS_PER_TASK)
     # At least some four block pairs per task, for balance.
     block = max(1, min(block, n // max(1, isqrt(8 * tasks))))
     entities = indexed.select("__i", *columns, F.floor(F.col("__i") / F.lit(block)).cast("long").alias("__b"))
     last = F.lit(max(0, (n - 1) // block)).cast("long")
-    left = entities.select(
+    left = entities.filter(F.col("__i").between(first, last_i)).select(
         F.col("__i").alias("i"),
         *[F.col(c).alias(c + suffixes[0]) for c in columns],
         F.col("__b").alias("__b1"),
         F.explode(F.sequence("__b", last)).alias("__b2"),
     )
-    right = entities.select(
+    low, high = F.lit(first // block).cast("long"), F.least(F.col("__b"), F.lit(last_i // block).cast("long"))
+    right = entities.filter((F.col("__i") > first) & (low <= high)).select(
         F.col("__i").alias("j"),
         *[F.col(c).alias(c + suffixes[1]) for c in columns],
         F.col("__b").alias("__b2"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("__b"))).alias("__b1"),
+        F.explode(F.sequence(low, high)).alias("__b1"),
     )
     spread = [side.repartition(tasks, "__b1", "__b2") for side in (left, right)]
     i, j = F.col("i"), F.col("j")
     pairs = spread[0].join(spread[1].hint("shuffle_hash"), ["__b1", "__b2"]).filter(i < j)
     before = F.shiftright(i * (F.lit(2 * n) - i - 1), 1)
-    return pairs.select(
+    indexed_pairs = pairs.select(
         (before + (j - i - 1)).alias("pair_index"),
         "i",
         "j",
         *[c + s for s in suffixes for c in columns],
     )
+    return indexed_pairs.filter((F.col("pair_index") >= start) & (F.col("pair_index") < stop))
+
+
+def unrank_pair(index: int, n: int) -> tuple[int, int]:
+    """The pair ``i < j`` of ``n`` entities at a lexicographic index.
+
+    ``i`` is the last row that starts at or before the index: a quadratic equation, solved in
+    whole numbers and corrected.
+    """
+    i = max(0, (2 * n - 1 - isqrt(max((2 * n - 1) ** 2 - 8 * index, 0))) // 2)
+    while i * (2 * n - i - 1) // 2 > index:
+        i -= 1
+    while (i + 1) * (2 * n - i - 2) // 2 <= index:
+        i += 1
+    return i, index - i * (2 * n - i - 1) // 2 + i + 1
 
 
 def zip_by_row(*frames: DataFrame, on: str = ROW_ID) -> DataFrame:

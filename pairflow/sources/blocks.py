@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pairflow.functions import fixed
 from pairflow.functions.scalars import mixture_key
 from pairflow.functions.text import base_name, chunk_lines, extract_block, extract_names, split_ids, text_lines
+from pairflow.operators.sizing import measured
 from pairflow.schema import COMPOSITION, ENTITY_COLUMNS, TARGETS, TEMPERATURE
 
 
@@ -32,18 +33,19 @@ def _decoded(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def _addressed(df: DataFrame, ids: str) -> DataFrame:
-    """Attach the path that carries the two ids: the file's or its folder's name."""
-    path = F.col("_metadata.file_path")
+def _address(path: Column, ids: str) -> Column:
+    """The name that carries the two ids: the file's or its folder's."""
     if ids == "folder":
         # Writers escape a folder's value, and the path is escaped once more.
         folder = F.element_at(F.split(path, "/"), -2)
-        path = F.regexp_replace(_decoded(_decoded(folder)), r"^[^=]*=", "")
-    elif ids == "file":
-        path = _decoded(base_name(path))
-    else:
+        return F.regexp_replace(_decoded(_decoded(folder)), r"^[^=]*=", "")
+    if ids != "file":
         raise ValueError(f"ids are in the 'file' or 'folder' name, not {ids!r}")
-    return df.select(path.alias("path"), F.col("value").alias("text"))
+    return _decoded(base_name(path))
+
+
+def _addressed(df: DataFrame, ids: str) -> DataFrame:
+    return df.select(_address(F.col("_metadata.file_path"), ids).alias("path"), F.col("value").alias("text"))
 
 
 def parse_block_text(spark: SparkSession, path: str, ids: str = "file", strict: bool = True) -> DataFrame:
@@ -55,6 +57,48 @@ def parse_block_text(spark: SparkSession, path: str, ids: str = "file", strict:
     return parse_blocks(_addressed(_whole_files(spark.read, path), ids), strict=strict)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of each file numbered from 0, however many tasks read it.
+
+    Lines of a split are numbered where they are read; what the splits before it hold is
+    counted first, a number per split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"),
+    )
+    splits = lines.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at")) - F.col("n")
+    offsets = measured(splits.select("file", "at", (before - F.col("first")).alias("shift")))
+    return lines.join(offsets, ["file", "at"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def parse_block_lines(spark: SparkSession, path: str, ids: str = "file", strict: bool = True) -> DataFrame:
+    """As ``parse_block_text``, for files larger than a task: a file is read in as many splits as it has.
+
+    Every line is taken apart where it is read, by its place in its block of 8; what the lines
+    of a block gave is brought together, nearly always within the task.
+    """
+    lines = _numbered_lines(spark, path).withColumns(
+        {"block": F.floor(F.col("line") / fixed.LINES_PER_BLOCK).cast("int"), "at": (F.col("line") % fixed.LINES_PER_BLOCK + 1).cast("int")}
+    )
+    part = {
+        "__condition": F.when(F.col("at") == fixed.CONDITION_LINE, F.col("value")),
+        **{f"__target_{k}": F.when(F.col("at") == line, F.col("value")) for k, line in enumerate(fixed.TARGET_LINES)},
+    }
+    whole = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(n) for n, c in part.items()])
+    whole = whole.filter(F.col("__n") == fixed.LINES_PER_BLOCK)
+    empty = F.lit("")
+    by_line = {fixed.CONDITION_LINE: "__condition", fixed.TARGET_LINES[0]: "__target_0", fixed.TARGET_LINES[1]: "__target_1"}
+    block = F.array(*[F.col(by_line[k]) if k in by_line else empty for k in range(1, fixed.LINES_PER_BLOCK + 1)])
+    head = lines.filter(F.col("block") == 0).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("h"))
+    name_1, name_2 = extract_names(F.col("h.value"))
+    names = measured(head.select("file", name_1.alias("names_1"), name_2.alias("names_2")))
+    id_1, id_2 = split_ids(_address(F.col("file"), ids))
+    blocks = whole.join(names, "file").select(id_1.alias("id_1"), id_2.alias("id_2"), "names_1", "names_2", "block", block.alias("__block"))
+    return extract_block(blocks, "__block", strict)
+
+
 def stream_block_text(spark: SparkSession, path: str, ids: str = "file", strict: bool = True) -> DataFrame:
     """The same as a stream over files still arriving."""
     return parse_blocks(_addressed(_whole_files(spark.readStream, path), ids), strict=strict)

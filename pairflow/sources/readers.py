@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pairflow.functions import fixed
+from pairflow.operators.sizing import measured
 
 INDEX_COLUMNS = ("Unnamed: 0", "_c0", "")
 
@@ -39,28 +40,30 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
 def scan_csv_batches(spark: SparkSession, paths: str | list[str], schema: T.StructType, one_layout: bool = False) -> DataFrame:
     """Concatenate CSV batches whose headers may differ, matching columns by name.
 
-    Every distinct header is one scan; batches with the same header share it, so the
-    plan grows with the number of layouts and not with the number of files.  Finding
-    the headers reads the files once more; ``one_layout`` says they are all alike.
+    The header of each file is a row of a side table that is joined to the lines, which are
+    parsed by position and picked by that header: one scan of the data whatever the number
+    of layouts and files.  Only the largest number of columns comes to the driver.
+    ``one_layout`` says that all headers are alike, which saves looking for them.  A quoted
+    value may not hold a line break.
     """
     if one_layout:
         return scan_csv(spark, paths, schema)
-    heads = (
-        spark.read.text(paths)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-        .filter(F.col("at") == 0)
-        .withColumn("position", F.monotonically_increasing_id())
-        .groupBy("path")
-        .agg(F.min_by("value", "position").alias("header"))
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line")
     )
-    layouts: dict[str, list[str]] = {}
-    for row in heads.toLocalIterator():
-        layouts.setdefault(row["header"], []).append(row["path"])
-    out = None
-    for files in layouts.values():
-        part = scan_csv(spark, sorted(files), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    heads = lines.filter((F.col("at") == 0) & (F.col("value") != "")).groupBy("path").agg(F.min("line").alias("first"), F.min_by("value", "line").alias("header"))
+    heads = measured(heads)
+    quoted = F.length("header") - F.length(F.replace("header", F.lit(",")))
+    width = (heads.agg(F.max(quoted)).first()[0] or 0) + 1
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    values = lambda c: F.array(*[F.from_csv(c, fields)[f"c{i}"] for i in range(width)])
+    known = lines.filter(F.col("value") != "").join(heads, "path")
+    body = known.filter(F.col("line") != F.col("first"))
+    parsed = body.select(F.from_csv("value", fields).alias("__v"), values("header").alias("__names"))
+    listed = parsed.select(F.array(*[F.col(f"__v.c{i}") for i in range(width)]).alias("__v"), "__names")
+    place = lambda name: F.array_position("__names", name).cast("int") - 1
+    picked = [F.when(place(f.name) >= 0, F.get("__v", place(f.name))).alias(f.name) for f in schema.fields]
+    return _typed(listed.select(*picked), schema)
 
 
 def scan_tagged_files(spark: SparkSession, path: str, fmt: str = "parquet", name: str = "source", **options) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from pairflow.operators.ordering import batch_id, row_index
 from pairflow.operators.select import split_data_features
 from pairflow.schema import ENTITY_COLUMNS, FEATURES, ROW_ID, TARGETS
 
+BATCH_FILES = 64
+
 
 @dataclass(frozen=True)
 class Written:
@@ -41,10 +43,25 @@ def write_csv_counted(df: DataFrame, path: str, index: str | None = None, mode:
     return Written(path, observation.get["row_count"])
 
 
-def write_batches(df: DataFrame, path: str, size: int, order: list[str | Column], fmt: str = "parquet") -> None:
-    """Consecutive batches of at most ``size`` rows, one folder per batch."""
-    numbered = batch_id(row_index(df, order, "__row"), size, "__row")
-    numbered.drop("__row").write.partitionBy("batch_id").option("header", True).format(fmt).save(path)
+def write_batches(df: DataFrame, path: str, size: int, order: list[str | Column], fmt: str = "parquet", files: int | None = BATCH_FILES) -> None:
+    """Consecutive batches of at most ``size`` rows, in a column ``batch_id``.
+
+    Batches are placed by range of their number, so each lies whole in one of at most
+    ``files`` files, which hold many; ``batch_files`` says which.  ``files=None`` makes a
+    folder of each batch instead, whose number then grows with the table.
+    """
+    numbered = batch_id(row_index(df, order, "__row"), size, "__row").drop("__row")
+    if files is None:
+        numbered.write.partitionBy("batch_id").option("header", True).format(fmt).save(path)
+    else:
+        placed = numbered.repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id")
+        placed.write.option("header", True).format(fmt).save(path)
+
+
+def batch_files(spark: SparkSession, path: str) -> DataFrame:
+    """Which file each batch lies in, and its rows: (batch_id, file, n)."""
+    rows = spark.read.parquet(path).select("batch_id", F.col("_metadata.file_name").alias("file"))
+    return rows.groupBy("batch_id", "file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def write_scores_json(df: DataFrame, path: str) -> None:

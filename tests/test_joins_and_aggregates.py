@@ -1,6 +1,7 @@
 """Joins, aggregates, histograms and set operations on hand-made tables."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -200,3 +201,33 @@ def test_scores_use_rows_with_both_values(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (30.0, None), (40.0, float("nan"))], "y double, y_pred double")
     r = d.regression_scores(df, ["y"]).first()
     assert r["y_r2"] == pytest.approx(0.5) and r["y_mae"] == pytest.approx(0.25)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 40])
+def test_a_restart_gives_the_same_pairs(spark, n):
+    df = spark.range(n).repartition(3)
+    whole = rows(j.all_pairs(df, ["id"], ["id"], block=3), "pair_index")
+    total = n * (n - 1) // 2
+    for start, stop in [(0, None), (total - 1, None), (total // 3, total // 2), (total, None), (3, 3), (-2, 10**9)]:
+        got = rows(j.all_pairs(df, ["id"], ["id"], block=3, start=start, stop=stop), "pair_index")
+        assert got == [r for r in whole if r[0] >= start and (stop is None or r[0] < stop)]
+    assert all(j.unrank_pair(r[0], n) == (r[1], r[2]) for r in whole)
+
+
+def test_unranking_is_exact_for_large_indices():
+    n = 3_000_000_001
+    for k in (0, n - 2, n - 1, n * (n - 1) // 2 - 1, n * (n - 1) // 4, 10**18 + 7):
+        a, b = j.unrank_pair(k, n)
+        assert 0 <= a < b < n and a * (2 * n - a - 1) // 2 + b - a - 1 == k
+
+
+def test_a_late_restart_joins_few_pairs(spark):
+    """At 99 %, the join is of the last tenth of the entities with itself: 1 % of the pairs."""
+    n = 600
+    total = n * (n - 1) // 2
+    start = int(0.99 * total)
+    assert j.unrank_pair(start, n)[0] >= 0.89 * n
+    pairs = j.all_pairs(spark.range(n), ["id"], ["id"], block=16, start=start)
+    assert pairs.count() == total - start
+    bounds = re.findall(r"\+ __pos#\d+L\) >=? (\d+)", pairs._jdf.queryExecution().optimizedPlan().toString())
+    assert len(bounds) >= 2 and all(int(b) >= 0.89 * n for b in bounds)

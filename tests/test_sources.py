@@ -9,7 +9,7 @@ from pairflow.catalog.registry import Tables
 from pairflow.session import shared_dir
 from pairflow.sources import readers as r
 from pairflow.sources import writers as w
-from pairflow.sources.blocks import format_blocks, parse_block_text, write_block_folders
+from pairflow.sources.blocks import format_blocks, parse_block_lines, parse_block_text, write_block_folders
 from pairflow.streaming.ingest import ingest_blocks_incremental
 
 SCHEMA = T.StructType([T.StructField("smiles_1", T.StringType()), T.StructField("x(1)", T.DoubleType()), T.StructField("c0_0", T.DoubleType())])
@@ -118,3 +118,47 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_tables_are_read_lazily(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
     assert Tables(spark, str(tmp_path)).t.count() == 3
+
+
+def test_layouts_share_one_scan(spark, tmp_path, plan):
+    (tmp_path / "a.csv").write_text('id,name,v\n1,"x, y",2.5\n2,n/a,\n\n')
+    (tmp_path / "b.csv").write_text("v,id\n7.5,3\nv,id\n")
+    (tmp_path / "c.csv").write_text('"name",other,id\nq,z,4\nr\n')
+    (tmp_path / "d.csv").write_text("")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("v", T.DoubleType())])
+    df = r.scan_csv_batches(spark, f"{tmp_path}/*.csv", schema)
+    assert plan(df).count("FileScan") == 1
+    got = sorted((tuple(row) for row in df.collect()), key=str)
+    assert got == sorted([(1, "x, y", 2.5), (2, None, None), (3, None, 7.5), (None, None, None), (4, "q", None), (None, "r", None)], key=str)
+
+
+def test_many_batches_in_few_files(spark, tmp_path):
+    path = f"{tmp_path}/batches"
+    w.write_batches(spark.range(10_000).repartition(5), path, 1, ["id"], files=8)
+    where = w.batch_files(spark, path).collect()
+    assert len(where) == 10_000 and all(row["n"] == 1 for row in where) and len({row["file"] for row in where}) <= 8
+    assert spark.read.parquet(path).filter("id = batch_id").count() == 10_000
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\r\ntail\r\nmore"])
+def test_a_file_over_many_splits_is_numbered_through(spark, tmp_path, end):
+    rows = [("a b", "c+d", float(k % 7) / 7, 300.0 + k, k / 10.0, -k / 10.0) for k in range(500)]
+    df = spark.createDataFrame(rows, "smiles_1 string, smiles_2 string, x1 double, temperature_k double, ln_gamma_1 double, ln_gamma_2 double")
+    texts = [row["text"] for row in format_blocks(df, ["smiles_1", "smiles_2"]).orderBy("temperature_k").collect()]
+    text = "\n".join(texts)
+    if "\r" in end:
+        text = text.replace("\n", "\r\n")
+    (tmp_path / "one__two_ct.tab").write_bytes((text + end).encode())
+    (tmp_path / "short__x_ct.tab").write_bytes(b"only\ntwo")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        scan = spark.read.text(f"{tmp_path}/*.tab")
+        assert scan.rdd.getNumPartitions() > 10
+        got = parse_block_lines(spark, f"{tmp_path}/*.tab").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = parse_block_text(spark, f"{tmp_path}/*.tab")
+    columns = list(got[0].asDict())
+    in_order = lambda found: sorted((tuple(row[c] for c in columns) for row in found), key=lambda t: t[columns.index("block")])
+    assert len(got) == 500 and in_order(got) == in_order(want.collect())
