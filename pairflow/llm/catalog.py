@@ -66,19 +66,16 @@ boiler AS (
   JOIN site USING (source) WHERE n >= {MIN_PAGES} AND n / pages > {RATIO}),
 per_site AS (SELECT source, list(line) AS bad FROM boiler GROUP BY source),
 cut AS (
-  SELECT doc_id, text, lines, len(list_filter(lines, lambda x: trim(x) <> '')) AS n_lines,
+  SELECT doc_id, len(list_filter(lines, lambda x: trim(x) <> '')) AS n_lines,
          list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), trim(x))) AS rest
-  FROM d LEFT JOIN per_site USING (source)),
-done AS (
-  SELECT *, n_lines > 0 AND len(list_filter(rest, lambda x: trim(x) <> '')) = 0 AS whole FROM cut)
-SELECT doc_id, n_lines, CASE WHEN whole THEN 0 ELSE n_lines - len(list_filter(rest, lambda x: trim(x) <> '')) END AS n_dropped, whole,
-       sha256(CASE WHEN whole THEN text ELSE array_to_string(rest, chr(10)) END) AS text_sha256
-FROM done
+  FROM d LEFT JOIN per_site USING (source))
+SELECT doc_id, n_lines, n_lines - len(list_filter(rest, lambda x: trim(x) <> '')) AS n_dropped, sha256(array_to_string(rest, chr(10))) AS text_sha256
+FROM cut
 """,
 )
 def op2(spark, folder):
     done = line_dedup(table(spark, folder, "documents"))
-    return done.select("doc_id", "n_lines", "n_dropped", "whole", F.sha2("text", 256).alias("text_sha256"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(LOWER.format("coalesce(text, '')"))

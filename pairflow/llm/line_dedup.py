@@ -8,7 +8,8 @@ from pairflow.llm.common import with_text_key
 from pairflow.operators.sizing import measured
 
 RATIO = 0.1
-MIN_PAGES = 10
+#: A line on one page only repeats nothing, however small the site.
+MIN_PAGES = 2
 
 
 def lines_of(text: Column) -> Column:
@@ -48,12 +49,11 @@ def line_dedup(
     min_pages: int = MIN_PAGES,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text, n_lines, n_dropped, whole, and the columns ``carry`` as they were.
+    """One row per row of ``docs``: doc_id, text, n_lines, n_dropped, and the columns ``carry`` as they were.
 
-    Within a site, lines (trimmed) on more than ``ratio`` of its pages, and on at least
-    ``min_pages``, are boilerplate and dropped.  A page with no other lines is no page with
-    boilerplate but a copy of others; it keeps its text (``whole`` is true), for document
-    deduplication to decide.  Blank lines are not counted, and stay.  Null texts count as
+    Within a site, lines (trimmed) on more than ``ratio`` of its pages, and on ``min_pages`` at
+    least, are boilerplate and dropped, from a page of nothing else too.  Blank lines are not
+    counted, and stay.  Null texts count as
     empty, null sites are one site.  Repeated rows are pages of their own, each comes back.
     An empty table gives an empty result.  ``carry`` names must not clash with the others.
     Measures the site totals in a job when called.
@@ -74,17 +74,14 @@ def line_dedup(
     kept = F.when(F.col("d.drop").isNull(), F.col("p.text")).otherwise(F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
     split = joined.select(
         F.col("p.doc_id").alias("doc_id"),
-        "p.text",
         kept.alias("rest"),
         F.when(F.trim("p.text") == "", 0).otherwise(F.size(F.filter(lines, has_text))).alias("n_lines"),
         *[F.col(f"p.carry_{c}").alias(c) for c in carry or []],
     )
-    whole = (F.regexp_replace("rest", r"[ \n]", "") == "") & (F.col("n_lines") > 0)
     return split.select(
         "doc_id",
-        F.when(whole, F.col("text")).otherwise(F.col("rest")).alias("text"),
+        F.col("rest").alias("text"),
         F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.col("n_lines") - F.size(F.filter(lines_of(F.col("rest")), has_text))).cast("long").alias("n_dropped"),
-        whole.alias("whole"),
+        (F.col("n_lines") - F.when(F.trim("rest") == "", 0).otherwise(F.size(F.filter(lines_of(F.col("rest")), has_text)))).cast("long").alias("n_dropped"),
         *(carry or []),
     )

@@ -47,7 +47,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
             "rule",
             "action",
             literal_tokens(host, path).alias("tokens"),
-            F.when(host == "", F.lit("")).otherwise(F.concat(F.lit(r"(^|\.)"), quoted(host), F.lit("$"))).alias("host_re"),
+            F.when(host == "", F.lit("")).otherwise(F.concat(F.lit(r"(^|\.)"), quoted(host), F.lit(r"\z"))).alias("host_re"),
             F.concat(F.lit("^"), quoted(path)).alias("path_re"),
         )
     )

@@ -78,7 +78,7 @@ def labels_of(spark, rows):
 BENCH = "item_id long, text string"
 OPERATORS = {
     "op1": lambda s, d: exact_dedup(d),
-    "op2": lambda s, d: line_dedup(d, min_pages=2),
+    "op2": lambda s, d: line_dedup(d),
     "op3": lambda s, d: lattice.lattice_scores(d),
     "op4": lambda s, d: decontaminate(d, s.createDataFrame([(1, "one two three"), (2, None), (None, "text of the"), (3, "--"), (4, "one")], BENCH), slop=1),
     "op5": lambda s, d: minhash.near_duplicates(d),
@@ -127,10 +127,12 @@ def test_chunks_join_to_the_text(spark, corpus):
 def test_line_dedup(spark):
     rows = [(k, f"own {k}\n common line \n\nother {k % 20}", "en", "a", 0) for k in range(40)]
     rows += [(100 + k, "copy", "en", "a", 0) for k in range(10)] + [(200, "common line\nx", "en", "b", 0), (201, None, "en", "a", 0)]
-    got = {r.doc_id: r for r in line_dedup(frame(spark, rows), ratio=0.1, min_pages=5).collect()}
+    rows += [(300 + k, f"page {k}\nfooter", "en", None, 0) for k in range(3)]
+    got = {r.doc_id: r for r in line_dedup(frame(spark, rows), ratio=0.1).collect()}
     assert got[3].text == "own 3\n\nother 3" and (got[3].n_lines, got[3].n_dropped) == (3, 1)
-    assert got[100].text == "copy" and got[100].whole and got[100].n_dropped == 0
-    assert got[200].text == "common line\nx" and got[201].text == ""
+    assert got[100].text == "" and (got[100].n_lines, got[100].n_dropped) == (1, 1)
+    assert got[200].text == "common line\nx" and got[201].text == "" and got[201].n_dropped == 0
+    assert [got[300 + k].text for k in range(3)] == ["page 0", "page 1", "page 2"]
 
 
 def brute_windows(text, item, size=10):
@@ -171,6 +173,7 @@ def test_url_filter(spark):
         "ftp://q.a.b/xyz": ("a.b/x", "block"),
         "ftp://com": (None, "allow"),
         "http://z.org/free/1": ("/free", "block"),
+        **{f"http://{host}example.com{end}/en/x": (None, "allow") for host in ("", "a.") for end in ("\n", "\r\n", "\x85", "\u2028", "\u2029")},
     }
     rows = [(k, u) for k, u in enumerate(urls)] + [(0, next(iter(urls))), (None, None), (99, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("host", F.lit("clash"))
@@ -361,6 +364,26 @@ def test_mix_sources(spark, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 60 for s in order)
 
 
+def test_a_long_text_does_not_move_the_mix(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(["w"] * rng.randint(1, 60)), "en", f"s{k % 4}", 0) for k in range(2000)] + [(5000 + k, "w " * 3_000, "en", f"s{k}", 0) for k in range(3)]
+    for seed in (0, 1):
+        taken, target = Counter(), {}
+        for r in mixing.mix_sources(frame(spark, rows), block_rows=100, seed=seed).collect():
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(taken[s] - t) <= 60 for s, t in target.items()), (taken, target)
+
+
+def test_repeated_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "one two three", "en", "a", 0)] * 500 + [(k, "x y", "en", "b", 0) for k in range(100)]
+    got = mixing.mix_sources(frame(spark, rows), block_rows=50).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    taken = sum(r.taken for r in got if r.source == "a")
+    assert abs(taken - next(r.target for r in got if r.source == "a")) <= 3 and len({r.taken for r in got if r.source == "a"}) == 2
+
+
 def brute_repeats(rows, window=20):
     seen, gone = set(), {}
     for i, text in sorted((r[0], r[1] or "") for r in rows):
