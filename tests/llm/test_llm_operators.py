@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairflow.llm import lattice, minhash, mixing, pii, substring_dedup, toxicity
+from pairflow.llm import components, lattice, minhash, mixing, pii, substring_dedup, toxicity
 from pairflow.llm.components import connected_components
 from pairflow.llm.decontaminate import decontaminate
 from pairflow.llm.exact_dedup import content_chunks, exact_dedup
@@ -259,10 +259,14 @@ def test_signature_estimates_similarity():
     assert np.array_equal(minhash.packed_bits(x, 2).shape, (4,))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [200_000, 20])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "TASK_EDGES", per_task)
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300), (None, 5), (250, 251), (251, 250)]
-    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    found = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    got = dict(found)
+    assert len(got) == len(found)
     label = {n: n for e in edges if None not in e for n in e}
     for _ in label:
         for a, b in ((a, b) for a, b in edges if a is not None):
