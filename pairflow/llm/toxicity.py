@@ -31,6 +31,8 @@ MAX_EXAMPLES = 2048
 #: Factor of a word that tells nothing about the label, and the likelihood ratio (chance: one word in a million) that counts half.
 LEAST, HALF_RATIO = 0.02, 24.0
 NEIGHBOURS, BLOCK = 15, 64
+#: Terms in more than one of so many examples are held as rows of a matrix; frequent words whose weights every task holds.
+OFTEN, HEAD_WORDS = 16, 100_000
 #: Blocks that a query rates before it has a neighbour to beat.
 FIRST_BLOCKS = 4
 FLUSH_WORDS = 300_000
@@ -64,7 +66,7 @@ def _count_words(batches):
 
 
 def word_weights(texts: DataFrame, train: DataFrame) -> DataFrame:
-    """word, weight of every word of ``texts`` (text): idf over all of them, times how well it tells the labels of ``train`` apart.
+    """word, weight, docs of every word of ``texts`` (text): idf over all of them, times how well it tells the labels of ``train`` apart.
 
     The second factor rises smoothly with the likelihood ratio of the word and the label, from
     ``LEAST`` for a word that tells nothing or is in no labelled row, to 1; no word is left out.
@@ -84,7 +86,7 @@ def word_weights(texts: DataFrame, train: DataFrame) -> DataFrame:
     ratio = F.greatest(ratio, F.lit(0.0))
     idf = F.log((1 + F.lit(docs)) / (1 + F.col("docs"))) + 1
     tells = LEAST + (1 - LEAST) * F.pow(ratio / (ratio + HALF_RATIO), 2)
-    return counts.filter("word <> ''").join(told, "word", "left").select("word", (idf * tells).alias("weight")).checkpoint()
+    return counts.filter("word <> ''").join(told, "word", "left").select("word", (idf * tells).alias("weight"), "docs").checkpoint()
 
 
 def slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -115,44 +117,56 @@ class BlockMaxIndex:
         place[order] = np.arange(n)
         self.labels, self.ids = labels[order], [ids[k] for k in order]
         rows = place[rows]
+        self.n_blocks, self.block_starts = -(-n // BLOCK), np.arange(0, n, BLOCK)
+        # the vectors by example, to leave each out in turn
+        by_row = np.lexsort((terms, rows))
+        self.row_terms, self.row_weights = terms[by_row], weights[by_row]
+        self.row_starts = np.searchsorted(rows[by_row], np.arange(n + 1))
+        # terms in many examples are added for all of them at once
+        often = np.bincount(terms, minlength=n_terms) * OFTEN > max(n, 1)
+        self.dense_of = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), n))
+        self.dense[self.dense_of[terms[often[terms]]], rows[often[terms]]] = weights[often[terms]]
+        rows, weights, terms = (v[~often[terms]] for v in (rows, weights, terms))
         by_term = np.lexsort((rows, terms))
         self.row, self.weight, terms = rows[by_term], weights[by_term], terms[by_term]
-        self.n_blocks = -(-n // BLOCK)
         cut = np.flatnonzero(np.diff(terms * max(self.n_blocks, 1) + self.row // BLOCK, prepend=-1))
         self.starts = np.append(cut, len(terms))
         self.block = self.row[cut] // BLOCK
         self.most = np.maximum.reduceat(self.weight, cut) if len(cut) else np.empty(0)
         self.first = np.searchsorted(terms[cut], np.arange(n_terms + 1))
-        # the vectors again, by example, to leave each out in turn
-        by_row = np.lexsort((terms, self.row))
-        self.row_terms, self.row_weights = terms[by_row], self.weight[by_row]
-        self.row_starts = np.searchsorted(self.row[by_row], np.arange(n + 1))
 
     def vector(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(self.row_starts[k], self.row_starts[k + 1])
         return self.row_terms[own], self.row_weights[own]
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, products) of the k nearest with a positive product; of equal ones the first examples."""
-        at = np.asarray(at, dtype=int)
+    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, leave=-1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, products) of the k nearest with a positive product, without ``leave``; of equal ones the first examples."""
+        at, weights = np.asarray(at, dtype=int), np.asarray(weights, dtype=float)
+        if not len(self.labels):
+            return np.empty(0, dtype=int), np.empty(0)
+        dense = self.dense_of[at]
+        base = weights[dense >= 0] @ self.dense[dense[dense >= 0]]
+        at, weights = at[dense < 0], weights[dense < 0]
         cells = slices(self.first[at], self.first[at + 1])
         of = np.repeat(weights, self.first[at + 1] - self.first[at])
         block = self.block[cells]
-        bound = np.bincount(block, weights=self.most[cells] * of, minlength=self.n_blocks)
+        bound = np.maximum.reduceat(base, self.block_starts) + np.bincount(block, weights=self.most[cells] * of, minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         found, products = np.empty(0, dtype=int), np.empty(0)
         for turn in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             worst = products.min() if len(found) >= k else 0.0
             wanted = np.zeros(self.n_blocks, dtype=bool)
             wanted[turn[(bound[turn] > 0) & (bound[turn] >= worst - 1e-12)]] = True
-            use = wanted[block]
-            if not use.any():
+            if not wanted.any():
                 continue
+            use = wanted[block]
             starts, ends = self.starts[cells[use]], self.starts[cells[use] + 1]
             entries = slices(starts, ends)
             close = np.bincount(self.row[entries], weights=self.weight[entries] * np.repeat(of[use], ends - starts), minlength=len(self.labels))
+            close = np.where(np.repeat(wanted, BLOCK)[: len(base)], close + base, 0.0)
             hit = np.flatnonzero(close > 0)
-            hit = hit[hit != leave]
+            hit = hit[~np.isin(hit, leave)]
             found, products = np.append(found, hit), np.append(products, close[hit])
             if len(found) > k:
                 least = np.partition(products, len(found) - k)[len(found) - k]
@@ -210,10 +224,12 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
 
     def vectors(batches):
         for batch in batches:
-            found = [sorted(Counter(words_of(t)).items()) for t in batch.column("text").to_pylist()]
+            found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            columns = [batch.column(c).take(of) for c in ("doc_id", "rank")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rank"), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "rank", "words", "n"],
+                [*columns, pa.array([w for f in found for w in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.int32())],
+                names=["doc_id", "rank", "word", "n"],
             )
 
     def has_word(batches):
@@ -234,23 +250,29 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
     chosen = chosen.select("doc_id", "toxic", "rank").checkpoint()
     texts = train.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rank")).join(measured(chosen.select("rank").distinct()), "rank", "left_semi")
     texts = texts.dropDuplicates(["doc_id", "rank"]).select("doc_id", "rank", "text")  # of equal rows one is fetched
-    words_by = {r[:2]: r[2:] for r in texts.mapInArrow(vectors, f"doc_id {kind}, rank long, words array<string>, n array<int>").collect()}
-    rows = [(r["doc_id"], r["toxic"], *words_by[r["doc_id"], r["rank"]]) for r in chosen.orderBy("toxic", "rank", "doc_id").collect()]
+    listed = texts.mapInArrow(vectors, f"doc_id {kind}, rank long, word string, n int").join(weights.select("word", "weight"), "word").toArrow()
+    rows = chosen.orderBy("toxic", "rank", "doc_id").collect()
     rate = ((toxic or 0) + 0.5) / ((total or 0) + 1)
     blank_rate = ((blank_toxic or 0) + 0.5 * rate) / ((blank or 0) + 0.5)
     if not toxic or toxic == total:
         rows, blank_rate = [], rate
-    words = sorted({w for r in rows for w in r[2]})
-    number = {w: k for k, w in enumerate(words)}
-    wanted = weights.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    held = dict(tuple(r) for r in weights.join(measured(wanted), "word").select("word", "weight").collect())
-    of_word = np.array([held[w] for w in words], dtype=float)
-    row_of = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]).astype(int)
-    term_of = np.array([number[w] for r in rows for w in r[2]], dtype=int)
-    weight = np.array([n for r in rows for n in r[3]], dtype=float) * of_word[term_of]
+    # equal rows share a vector; what no row of the index has is left out
+    first = {}
+    for k, r in enumerate(rows):
+        first.setdefault((r["doc_id"], r["rank"]), []).append(k)
+    coded = listed.column("word").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    words = coded.dictionary.to_pylist() if rows else []
+    owner = [first.get(x, []) for x in zip(listed.column("doc_id").to_pylist(), listed.column("rank").to_pylist())]
+    entry = np.repeat(np.arange(len(owner)), [len(o) for o in owner]).astype(int)
+    row_of = np.array([k for o in owner for k in o], dtype=int)
+    code, times, held = coded.indices.to_numpy().astype(int), listed.column("n").to_numpy().astype(float), listed.column("weight").to_numpy()
+    term_of, of_word = code[entry], np.zeros(len(words))
+    of_word[term_of] = held[entry]
+    weight = times[entry] * held[entry]
     norms = np.sqrt(np.bincount(row_of, weights=weight**2, minlength=len(rows)))
-    labels = np.array([r[1] for r in rows], dtype=float)
-    index = BlockMaxIndex.of_postings(row_of, term_of, weight / norms[row_of], len(words), labels, [r[0] for r in rows])
+    labels = np.array([r["toxic"] for r in rows], dtype=float)
+    index = BlockMaxIndex.of_postings(row_of, term_of, weight / norms[row_of], len(words), labels, [(r["doc_id"], r["rank"]) for r in rows])
     with_word = np.array([total - blank - (toxic or 0) + (blank_toxic or 0), (toxic or 0) - (blank_toxic or 0)])
     stands_for = with_word / np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
     model = ToxicityModel(words, of_word, index, rate, blank_rate, stands_for)
@@ -267,19 +289,32 @@ def _search(token: str, shared, columns: list[str]):
     def run(batches):
         if token not in _models:
             _models.clear()
-            _models[token] = shared.value, {w: k for k, w in enumerate(shared.value.words)}
-        model, number = _models[token]
+            model, head = shared.value
+            frequent = dict(zip(head.column("word").to_pylist(), head.column("weight").to_pylist()))
+            place: dict = {}
+            for k, x in enumerate(model.index.ids):
+                place.setdefault(x, []).append(k)
+            _models[token] = model, {w: k for k, w in enumerate(model.words)}, place, frequent
+        model, number, place, frequent = _models[token]
         for batch in batches:
             out = [[] for _ in range(6)]
-            for text in batch.column("text").to_pylist():
-                at, times, other, other_times = [], [], [], []
+            for text, doc_id, rank in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "rank"))):
+                at, times, other, other_times, square = [], [], [], [], 0.0
                 for word, n in Counter(words_of(text)).items():
                     k = number.get(word)
-                    (other if k is None else at).append(word if k is None else k)
-                    (other_times if k is None else times).append(n)
+                    if k is not None:
+                        at.append(k)
+                        times.append(n)
+                    elif (weight := frequent.get(word)) is not None:
+                        square += (n * weight) ** 2
+                    else:
+                        other.append(word)
+                        other_times.append(n)
                 weights = np.array(times, dtype=float) * model.weights[at] if at else np.empty(0)
-                found, products = model.index.nearest(np.array(at, dtype=int), weights, model.k) if at else ([], [])
-                for into, value in zip(out, (bool(at or other), list(found), list(products), float(weights @ weights), other, other_times)):
+                leave = place.get((doc_id, rank), -1)  # a row's own label says nothing about it
+                found, products = model.index.nearest(np.array(at, dtype=int), weights, model.k, leave) if at else ([], [])
+                worded = bool(at or other or square)
+                for into, value in zip(out, (worded, list(found), list(products), float(weights @ weights) + square, other, other_times)):
                     into.append(value)
             types = (pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
             found = [pa.array(values, kind) for values, kind in zip(out, types)]
@@ -295,8 +330,11 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     train = labelled(docs, labels, id_col, text, label)
     weights = word_weights(docs.select(whole_text(docs, text).alias("text")), train)
     model = fit_toxicity(weights, train)
-    shared = spark.sparkContext.broadcast(model)
-    keyed = with_text_key(docs, id_col, text, (remainder(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"))
+    head = weights.orderBy(F.desc("docs"), "word").limit(HEAD_WORDS).select("word", "weight").toArrow()
+    shared = spark.sparkContext.broadcast((model, head))
+    whole = whole_text(docs, text)
+    held_out, rank = (remainder(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"), F.xxhash64(docs[id_col], whole).alias("rank")
+    keyed = with_text_key(docs, id_col, text, held_out, rank)
     columns, kind = ["doc_id", "text_key", "held_out"], docs.schema[id_col].dataType.simpleString()
     searched = keyed.mapInArrow(
         _search(uuid.uuid4().hex, shared, columns),
@@ -304,15 +342,15 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     )
     searched = searched.withColumn("row", F.monotonically_increasing_id()).checkpoint()
     others = searched.select("row", F.explode(F.arrays_zip("other", "times")).alias("o")).select("row", F.col("o.other").alias("word"), F.col("o.times").alias("n"))
-    rest = others.join(weights, "word").groupBy("row").agg(F.sum(F.pow(F.col("n") * F.col("weight"), 2)).alias("rest"))
+    rest = others.join(weights.select("word", "weight"), "word").groupBy("row").agg(F.sum(F.pow(F.col("n") * F.col("weight"), 2)).alias("rest"))
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:string,cosine:double>>")
     def score(worded: pd.Series, found: pd.Series, products: pd.Series, squared: pd.Series) -> pd.DataFrame:
-        model, scores, evidence = shared.value, [], []
+        (model, _), scores, evidence = shared.value, [], []
         for has_word, near, close, norm in zip(worded, found, products, squared):
             near, cosines = np.asarray(near, dtype=int), np.asarray(close, dtype=float) / np.sqrt(norm or 1.0)
             scores.append(model.score(near, cosines) if has_word else model.blank_rate)
-            evidence.append([{"doc_id": str(model.index.ids[k]), "cosine": round(float(c), 6)} for k, c in zip(near[:3], cosines[:3])])
+            evidence.append([{"doc_id": str(model.index.ids[k][0]), "cosine": round(float(c), 6)} for k, c in zip(near[:3], cosines[:3])])
         return pd.DataFrame({"score": scores, "evidence": evidence})
 
     joined = searched.drop("other", "times").join(rest, "row", "left")
