@@ -15,6 +15,7 @@ import base64
 import math
 import uuid
 from collections import Counter
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -169,25 +170,20 @@ def _split(text: str) -> list[bytes]:
 
 
 def _count_words(batches):
-    train, seen = Counter(), Counter()
+    train, held_back = Counter(), Counter()
 
     def rows():
-        words = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64()), pa.array([seen[w] for w in words], pa.int64())],
-            names=["word", "train", "seen"],
-        )
+        words = list(train | held_back)
+        learned, other = (np.fromiter(map(counts.get, words, repeat(0)), dtype=np.int64, count=len(words)) for counts in (train, held_back))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(learned), pa.array(learned + other)], names=["word", "train", "seen"])
 
     for batch in batches:
         for text, held_out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
-            words = _split(text) + [b""]
-            seen.update(words)
-            if not held_out:
-                train.update(words)
-            if len(seen) > FLUSH_TYPES:
+            (held_back if held_out else train).update(_split(text) + [b""])
+            if len(train) + len(held_back) > FLUSH_TYPES:
                 yield rows()
                 train.clear()
-                seen.clear()
+                held_back.clear()
     yield rows()
 
 
@@ -276,15 +272,17 @@ def _sum_texts(token: str, shared):
             for k, text in enumerate(batch.column("text").to_pylist()):
                 counted = Counter(_split(text) + [b""])
                 n = np.fromiter(counted.values(), dtype=np.int64, count=len(counted))
-                where = np.fromiter((place.get(w, -1) for w in counted), dtype=np.int64, count=len(counted))
+                where = np.fromiter(map(place.get, counted, repeat(-1)), dtype=np.int64, count=len(counted))
                 head.append((int(n.sum()), int(n[known[where]].sum()), float(n @ base[where]), float(n @ logp[where])))
                 words.append(b" %d" % hash_of(batch.column("text_key")[k].as_py(), k))  # no word has a space: joins nothing
                 at.append(k)
                 times.append(0)
-                tail = [w for w, p in zip(counted, where) if p < 0]
-                words += tail
-                at += [k] * len(tail)
-                times += [counted[w] for w in tail]
+                rare = np.flatnonzero(where < 0).tolist()
+                if rare:
+                    distinct = list(counted)
+                    words += [distinct[i] for i in rare]
+                    at += [k] * len(rare)
+                    times += n[rare].tolist()
             yield _rows(batch, words, at, times, head)
 
     return run
