@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE_ROWS = 512
 
 
 def ascii_lower(c: Column) -> Column:
@@ -32,3 +33,10 @@ def with_text_key(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     """Join condition of two tables keyed by (doc_id, text_key); null ids match each other."""
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+
+def slices_of(batches, rows: int = SLICE_ROWS):
+    """The batches in slices, so that a task has the Python objects of few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

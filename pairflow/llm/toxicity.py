@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairflow.llm.common import remainder, whole_text, with_text_key
+from pairflow.llm.common import remainder, slices_of, whole_text, with_text_key
 from pairflow.operators.sizing import measured
 from pairflow.session import ensure_checkpoint_dir
 
@@ -52,7 +52,7 @@ def _count_words(batches):
             [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "docs", "toxic"]
         )
 
-    for batch in batches:
+    for batch in slices_of(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = {"", *words_of(text)}
             counts[0].update(words)
@@ -223,7 +223,7 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
     """
 
     def vectors(batches):
-        for batch in batches:
+        for batch in slices_of(batches):
             found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
             of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             columns = [batch.column(c).take(of) for c in ("doc_id", "rank")]
@@ -233,7 +233,7 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
             )
 
     def has_word(batches):
-        for batch in batches:
+        for batch in slices_of(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), batch.column("toxic"), pa.array([bool(WORD.search(t)) for t in batch.column("text").to_pylist()], pa.bool_())],
                 names=["doc_id", "text", "toxic", "worded"],
@@ -296,7 +296,7 @@ def _search(token: str, shared, columns: list[str]):
                 place.setdefault(x, []).append(k)
             _models[token] = model, {w: k for k, w in enumerate(model.words)}, place, frequent
         model, number, place, frequent = _models[token]
-        for batch in batches:
+        for batch in slices_of(batches):
             out = [[] for _ in range(6)]
             for text, doc_id, rank in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "rank"))):
                 at, times, other, other_times, square = [], [], [], [], 0.0
