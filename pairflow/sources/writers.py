@@ -28,9 +28,10 @@ def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(observation, F.count(F.lit(1)).alias("row_count")), observation
 
 
-def write_parquet_counted(df: DataFrame, path: str, mode: str = "errorifexists") -> Written:
+def write_parquet_counted(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] = ()) -> Written:
+    """``by`` makes a folder of each value of these columns."""
     observed, observation = _observed(df)
-    observed.write.mode(mode).parquet(path)
+    observed.write.mode(mode).partitionBy(*by).parquet(path)
     return Written(path, observation.get["row_count"])
 
 
