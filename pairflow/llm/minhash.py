@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairflow.llm.common import whole_text
+from pairflow.llm.common import slices_of, whole_text
 from pairflow.llm.components import connected_components
 from pairflow.llm.shingles import U64, WordHashes, mix, shingle_set
 from pairflow.operators.sizing import measured
@@ -64,7 +64,7 @@ def packed_bits(least: np.ndarray, bits: int) -> np.ndarray:
 def _features(shingle: int, bands: int, rows: int, bits: int):
     def run(batches):
         hashes, (a, b) = WordHashes(), permutations(bands * rows)
-        for batch in batches:
+        for batch in slices_of(batches):
             sizes, high, low, keys, signs = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text.encode().lower().split(), hashes, shingle)
@@ -101,7 +101,7 @@ def features(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
 def _fine(shingle: int, count: int, bits: int):
     def run(batches):
         hashes, (a, b) = WordHashes(), permutations(count)
-        for batch in batches:
+        for batch in slices_of(batches):
             sets = [shingle_set(t.encode().lower().split(), hashes, shingle) for t in batch.column("text").to_pylist()]
             signs = [packed_bits(minima(s, a, b), bits).view(np.int64) for s in sets]
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.list_(pa.int64()))]
@@ -134,7 +134,7 @@ def least_rating(percent: int, count: int = BANDS * ROWS, bits: int = BITS) -> f
 def _sets(shingle: int):
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices_of(batches):
             values = [shingle_set(t.encode().lower().split(), hashes, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "members"])
 
