@@ -96,3 +96,55 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert got == Counter((i, t) for i, t in rows if t not in bad)
     near = Counter((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
     assert near == Counter([(None, clean), (None, bad[0]), (None, bad[1]), (7, other), (7, bad[2]), (8, third), (None, "")])
+
+
+def _tables(spark, path, docs):
+    item = " ".join(f"b{k}" for k in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    labels = [(r[0], 1, int("vile" in (r[1] or ""))) for r in docs if r[0] is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return item
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    _tables(spark, tmp_path, [])
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[:5] == corpus_pipeline.COLUMNS and out.collect() == [], name
+
+
+def test_stages_with_long_texts_and_clashing_columns(spark, tmp_path):
+    """Names that the operators use inside, as further columns, change nothing; nor does a text of 200,000 words."""
+    rng = random.Random(9)
+    text = lambda n, *more: " ".join(rng.choices([f"u{k}" for k in range(500)], k=n) + list(more))
+    rows = [(k, text(40, *(["vile", "awful"] if k % 4 == 0 else [])), "en", f"s{k % 2}", 0) for k in range(60)]
+    item = _tables(spark, tmp_path, rows)
+    rows += [(100, text(200_000), "en", "s0", 0), (101, text(20, item), "en", None, 0), (102, rows[1][1], "en", "s1", 0), (None, None, None, None, None)]
+    plain = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    clash = ["text_key", "row", "word", "words", "line", "site", "n", "count", "score", "s", "size", "copies", "copy", "kept", "held_out", "toxic", "label", "node", "key", "pos", "class", "block", "tie", "k", "d", "m"]
+    more = plain.selectExpr("*", *[f"'x' as `{c}`" for c in clash])
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = (stage(spark, docs, str(tmp_path)) for docs in (plain, more))
+        assert want.columns == got.columns, name
+        want, got = Counter(map(tuple, want.collect())), Counter(map(tuple, got.collect()))
+        assert want == got and any(r[0] == 100 for r in got), name
+        if name == "near_dedup":
+            assert not any(r[0] == 102 for r in got) and any(r[0] is None for r in got)
+        if name == "decontamination":
+            assert {r[0] for r in got} == {r[0] for r in rows} - {101}
+
+
+def test_toxic_copies_are_judged_by_id_and_text(spark, tmp_path, monkeypatch):
+    rows = [(1, "one", "en", "s", 0), (2, "one", "en", "s", 0), (2, "two", "en", "s", 0), (None, "one", "en", "s", 0), (None, "two", "en", "s", 0)]
+    _tables(spark, tmp_path, [])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    bad = {(2, "one"), (None, "two")}
+
+    def rates(docs, labels):
+        scored = corpus_pipeline.keyed(docs).collect()
+        return spark.createDataFrame([(r.doc_id, r.text_key, (0.9 if (r.doc_id, r.text) in bad else 0.1,)) for r in scored], "doc_id long, text_key long, s struct<score: double>")
+
+    monkeypatch.setattr(corpus_pipeline, "toxicity_rates", rates)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
+    assert got == Counter((r[0], r[1]) for r in rows if (r[0], r[1]) not in bad)
