@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairflow.catalog.registry import query, round_columns
-from pairflow.catalog.views import KEYED, OBS, ROLES, keyed, obs, part_dim, roles
+from pairflow.catalog.views import KEYED, OBS, REGISTRY, ROLES, keyed, obs, part_dim, registry_dim, registry_or_name, roles
 from pairflow.operators import joins as j
 from pairflow.operators.aggregates import group_mean
 from pairflow.operators.select import suffix_columns
+from pairflow.operators.sizing import measured
 
 # Customers resolved by name; every seventh is missing from the dimension.
 NAMES = """names AS (
@@ -36,6 +37,15 @@ def _(t):
     return j.enrich_left(_named(t), _names(t), "name", "smiles")
 
 
+@query("c1_enrich_first_listed", """
+WITH first AS (SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders GROUP BY 1)
+SELECT c_custkey, priority FROM customer LEFT JOIN first ON c_custkey = o_custkey""")
+def _(t):
+    """Of a customer's orders the first by date."""
+    dim = t.orders.withColumnRenamed("o_orderpriority", "priority")
+    return j.enrich_left(t.customer.select("c_custkey"), dim, "c_custkey", "priority", dim_key="o_custkey", order=["o_orderdate", "o_orderkey"])
+
+
 @query("c2_enrich_coalesce", f"""
 WITH {NAMES}
 SELECT o_orderkey, a.name, coalesce(b.smiles, a.smiles) AS smiles FROM named a LEFT JOIN names b ON a.name = b.name""")
@@ -65,6 +75,16 @@ def _(t):
     return j.resolve_with_fallback(keyed(t), dim, "cas_number_1", "cas_number", "solvent_name", "smiles", "smiles_1")
 
 
+@query("c4_resolve_pair_with_fallback", f"""
+WITH {OBS}, {REGISTRY}
+SELECT row_id, a.id AS cas_number_1, b.id AS cas_number_2, a.smiles AS smiles_1, b.smiles AS smiles_2
+FROM obs JOIN registry a ON m1 = a.k JOIN registry b ON m2 = b.k WHERE a.smiles IS NOT NULL AND b.smiles IS NOT NULL""")
+def _(t):
+    """Both sides by registry id or by name; pairs with an unknown side go."""
+    pairs = obs(t).select("row_id", registry_or_name("m1").alias("cas_number_1"), registry_or_name("m2").alias("cas_number_2"))
+    return j.resolve_pair_with_fallback(pairs, registry_dim(t), "cas_number", "smiles", "cas_number", "solvent_name", "smiles")
+
+
 @query("c5_lookup_by_type", f"""
 WITH {KEYED}, d AS (SELECT solvent_name, min(cas_number) AS unique_code FROM part_dim GROUP BY solvent_name)
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, cas_number_1, unique_code
@@ -91,11 +111,12 @@ SELECT row_id, m1, m2, temperature_k, round(x_mean, 6) + 0.0 AS x_mean FROM obs
 def _(t):
     o = obs(t)
     groups = o.groupBy("m1", "m2", "temperature_k").agg(F.avg("x1").alias("x_mean"), F.count("*").alias("n")).filter("n >= 4")
-    return round_columns(j.join_inner_keys(o.select("row_id", "m1", "m2", "temperature_k"), groups.drop("n")), ["x_mean"])
+    return round_columns(j.join_inner_keys(o.select("row_id", "m1", "m2", "temperature_k"), measured(groups.drop("n"))), ["x_mean"])
 
 
 def _means(t):
-    return group_mean(obs(t), ["m1", "m2", "temperature_k", "x1"], ["ln_gamma_1", "ln_gamma_2"])
+    means = group_mean(obs(t), ["m1", "m2", "temperature_k", "x1"], ["ln_gamma_1", "ln_gamma_2"])
+    return measured(means.filter("x1 < 0.75"))
 
 
 @query("c8_join_left_keys", f"""
@@ -103,8 +124,7 @@ WITH {OBS}, {MEANS}
 SELECT row_id, o.m1, o.m2, o.x1, round(p1, 6) + 0.0 AS ln_gamma_1_pred, round(p2, 6) + 0.0 AS ln_gamma_2_pred
 FROM obs o LEFT JOIN means p ON o.m1 = p.m1 AND o.m2 = p.m2 AND o.temperature_k = p.temperature_k AND o.x1 = p.x1 AND p.x1 < 0.75""")
 def _(t):
-    right = _means(t).filter("x1 < 0.75")
-    joined = j.join_left_keys(obs(t), right, ["m1", "m2", "temperature_k", "x1"], ["temperature_k", "x1"])
+    joined = j.join_left_keys(obs(t), _means(t), ["m1", "m2", "temperature_k", "x1"], ["temperature_k", "x1"])
     return round_columns(joined.select("row_id", "m1", "m2", "x1", "ln_gamma_1_pred", "ln_gamma_2_pred"), ["ln_gamma_1_pred", "ln_gamma_2_pred"])
 
 
@@ -113,8 +133,7 @@ WITH {OBS}, {MEANS}
 SELECT row_id, round(ln_gamma_1, 6) + 0.0 AS ln_gamma_1, round(p1, 6) + 0.0 AS ln_gamma_1_pred
 FROM obs o JOIN means p USING (m1, m2, temperature_k, x1) WHERE p.x1 < 0.75""")
 def _(t):
-    right = _means(t).filter("x1 < 0.75")
-    joined = j.join_many_to_many(obs(t), right, ["m1", "m2", "temperature_k", "x1"], ["x1"])
+    joined = j.join_many_to_many(obs(t), _means(t), ["m1", "m2", "temperature_k", "x1"], ["x1"])
     return round_columns(joined.select("row_id", "ln_gamma_1", "ln_gamma_1_pred"), ["ln_gamma_1", "ln_gamma_1_pred"])
 
 

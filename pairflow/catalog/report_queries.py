@@ -11,6 +11,7 @@ from pairflow.functions import fixed
 from pairflow.operators import reports as k
 from pairflow.operators.aggregates import group_mean
 from pairflow.operators.vectors import pca_scores
+from pairflow.operators.sizing import measured
 
 
 @query("k1_parity_points", f"""
@@ -65,7 +66,7 @@ SELECT count(*) AS n, round(sqrt(avg(pow(ln_gamma_1 - p1, 2))), 6) AS ln_gamma_1
   round(1 - sum(pow(ln_gamma_2 - p2, 2)) / (var_pop(ln_gamma_2) * count(*)), 6) AS ln_gamma_2_r2 FROM j""")
 def _(t):
     keys = ["m1", "m2", "temperature_k", "x1"]
-    reference = group_mean(obs(t).filter("m1 < 20"), keys, ["ln_gamma_1", "ln_gamma_2"])
+    reference = measured(group_mean(obs(t).filter("m1 < 20"), keys, ["ln_gamma_1", "ln_gamma_2"]))
     scores = k.observed_vs_reference(obs(t), reference, keys, ["temperature_k", "x1"])
     return round_columns(scores, [c for c in scores.columns if c != "n"])
 

@@ -37,6 +37,13 @@ part_dim AS (
   FROM part)"""
 
 
+# Entities that are known by registry id or, every third, by name; every seventh has no value.
+REGISTRY = """registry AS (
+  SELECT n_nationkey AS k, CASE WHEN n_nationkey % 7 <> 0 THEN n_name END AS smiles,
+         CASE WHEN n_nationkey % 3 = 0 THEN 'nation' || n_nationkey ELSE (100 + n_nationkey) || '-05-' || (n_nationkey % 10) END AS id
+  FROM nation)"""
+
+
 def obs(t: Tables) -> DataFrame:
     """Pair observations: supplier nation against customer nation."""
     joined = (
@@ -96,3 +103,21 @@ def part_dim(t: Tables) -> DataFrame:
         F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("solvent_name"),
         F.when(F.col("p_partkey") % 7 != 0, value).alias("smiles"),
     )
+
+
+def _nation_id(key: str):
+    return F.concat((F.lit(100) + F.col(key)).cast("string"), F.lit("-05-"), (F.col(key) % 10).cast("string"))
+
+
+def registry_or_name(key: str):
+    """Every third entity goes by a name, the others by a registry id."""
+    return F.when(F.col(key) % 3 == 0, F.concat(F.lit("nation"), F.col(key).cast("string"))).otherwise(_nation_id(key))
+
+
+def registry_dim(t: Tables) -> DataFrame:
+    """Entity dimension by registry id and by name, with every seventh value missing."""
+    return t.nation.select(
+        _nation_id("n_nationkey").alias("cas_number"),
+        F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("solvent_name"),
+        F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")).alias("smiles"),
+    )

@@ -4,6 +4,9 @@ A plain table is broadcast by the optimizer when its known size is under
 ``spark.sql.autoBroadcastJoinThreshold``.  A side that is itself an aggregate is
 measured first (``sizing.measured``).  Everything else is sort-merged, and adaptive
 execution splits skewed partitions.
+
+Lookups of a dimension take the first candidate of a key: by the dimension's columns named in
+``order``, of ties (or without an order) the smallest value.
 """
 
 from __future__ import annotations
@@ -20,21 +23,27 @@ from pairflow.operators.sizing import measured
 from pairflow.schema import ENTITY_COLUMNS, GROUP_KEYS, ROW_ID
 
 
-def _lookup(dim: DataFrame, key: str, value: str, key_as: str, value_as: str) -> DataFrame:
+def _lookup(dim: DataFrame, key: str, value: str, key_as: str, value_as: str, order: list[str] = ()) -> DataFrame:
     """Dimension cut down to one (key, value) row per known key: of several values the first; NULL is none."""
-    pruned = dim.select(F.col(key).alias(key_as), F.col(value).alias(value_as))
-    return first_per_key(pruned.filter(F.col(key_as).isNotNull() & F.col(value_as).isNotNull()), [key_as], [value_as])
+    places = {f"__order_{i}": c for i, c in enumerate(order)}
+    pruned = dim.select(F.col(key).alias(key_as), F.col(value).alias(value_as), *[F.col(c).alias(n) for n, c in places.items()])
+    known = pruned.filter(F.col(key_as).isNotNull() & F.col(value_as).isNotNull())
+    return first_per_key(known, [key_as], [*places, value_as]).select(key_as, value_as)
 
 
-def enrich_left(df: DataFrame, dim: DataFrame, on: str, value: str, dim_key: str | None = None) -> DataFrame:
+def enrich_left(
+    df: DataFrame, dim: DataFrame, on: str, value: str, dim_key: str | None = None, order: list[str] = ()
+) -> DataFrame:
     """Left join one resolved value; the first candidate per key counts."""
-    found = _lookup(dim, dim_key or on, value, on, value)
+    found = _lookup(dim, dim_key or on, value, on, value, order)
     return drop_if_exists(df, [value]).join(found, on, "left")
 
 
-def enrich_coalesce(df: DataFrame, dim: DataFrame, on: str, value: str, dim_key: str | None = None) -> DataFrame:
+def enrich_coalesce(
+    df: DataFrame, dim: DataFrame, on: str, value: str, dim_key: str | None = None, order: list[str] = ()
+) -> DataFrame:
     """As ``enrich_left``, but an existing value fills the gaps of the new one."""
-    found = _lookup(dim, dim_key or on, value, on, "__new")
+    found = _lookup(dim, dim_key or on, value, on, "__new", order)
     joined = df.join(found, on, "left")
     return joined.withColumn(value, F.coalesce("__new", value)).drop("__new")
 
@@ -47,48 +56,56 @@ def resolve_pair(
     dim_key: str,
     dim_value: str,
     drop_unresolved: bool = True,
+    order: list[str] = (),
 ) -> DataFrame:
     """Resolve both entity columns against one dimension."""
     out = drop_if_exists(df, [f"{value_prefix}_{i}" for i in (1, 2)])
     for i in (1, 2):
         key, value = f"{key_prefix}_{i}", f"{value_prefix}_{i}"
-        out = out.join(_lookup(dim, dim_key, dim_value, key, value), key, "left")
+        out = out.join(_lookup(dim, dim_key, dim_value, key, value, order), key, "left")
     return drop_incomplete(out, [f"{value_prefix}_{i}" for i in (1, 2)]) if drop_unresolved else out
 
 
 def resolve_with_fallback(
-    df: DataFrame, dim: DataFrame, key: str, dim_key: str, alt_key: str, dim_value: str, value: str
+    df: DataFrame, dim: DataFrame, key: str, dim_key: str, alt_key: str, dim_value: str, value: str, order: list[str] = ()
 ) -> DataFrame:
     """Resolve by key; keys that are not registry-shaped are names and go by name.
 
     A name that is not found keeps what the key lookup gave.
     """
-    by_key = _lookup(dim, dim_key, dim_value, key, "__by_key")
-    by_name = _lookup(dim, alt_key, dim_value, key, "__by_name")
+    by_key = _lookup(dim, dim_key, dim_value, key, "__by_key", order)
+    by_name = _lookup(dim, alt_key, dim_value, key, "__by_name", order)
     joined = drop_if_exists(df, [value]).join(by_key, key, "left").join(by_name, key, "left")
     resolved = F.when(is_registry_id(key), F.col("__by_key")).otherwise(F.coalesce("__by_name", "__by_key"))
     return joined.withColumn(value, resolved).drop("__by_key", "__by_name")
 
 
 def resolve_pair_with_fallback(
-    df: DataFrame, dim: DataFrame, key_prefix: str, value_prefix: str, dim_key: str, alt_key: str, dim_value: str
+    df: DataFrame,
+    dim: DataFrame,
+    key_prefix: str,
+    value_prefix: str,
+    dim_key: str,
+    alt_key: str,
+    dim_value: str,
+    order: list[str] = (),
 ) -> DataFrame:
     """Both sides of a pair by key, names by name; unresolved rows are dropped."""
     out = df
     for i in (1, 2):
         out = resolve_with_fallback(
-            out, dim, f"{key_prefix}_{i}", dim_key, alt_key, dim_value, f"{value_prefix}_{i}"
+            out, dim, f"{key_prefix}_{i}", dim_key, alt_key, dim_value, f"{value_prefix}_{i}", order
         )
     return drop_incomplete(out, [f"{value_prefix}_{i}" for i in (1, 2)])
 
 
 def lookup_by_type(
-    df: DataFrame, dim: DataFrame, id_column: str, id_type: str, columns: dict[str, str], value: str
+    df: DataFrame, dim: DataFrame, id_column: str, id_type: str, columns: dict[str, str], value: str, order: list[str] = ()
 ) -> DataFrame:
     """Look up by the dimension column that holds the given identifier type."""
     if id_type not in columns:
         raise ValueError(f"Unknown lookup type: {id_type}.")
-    return enrich_left(df, dim, id_column, value, dim_key=columns[id_type])
+    return enrich_left(df, dim, id_column, value, dim_key=columns[id_type], order=order)
 
 
 def unresolved(df: DataFrame, dim: DataFrame, on: str, dim_key: str | None = None) -> DataFrame:
@@ -98,6 +115,7 @@ def unresolved(df: DataFrame, dim: DataFrame, on: str, dim_key: str | None = Non
 
 
 def join_inner_keys(a: DataFrame, b: DataFrame, keys: list[str] = GROUP_KEYS) -> DataFrame:
+    """Rows of both sides with equal keys.  Pass a ``b`` that is an aggregate through ``measured``: the optimizer takes it for large."""
     return a.join(b, keys, "inner")
 
 

@@ -12,6 +12,7 @@ from pairflow.operators import histograms as h
 from pairflow.operators import joins as j
 from pairflow.operators import select as s
 from pairflow.operators import sets as g
+from pairflow.operators.sizing import measured
 
 NAN = float("nan")
 
@@ -37,6 +38,34 @@ def test_fallback_by_name_is_keyed(spark):
     assert rows(out.select("i", "smiles_1"), "i") == [(1, "CCO"), (2, "O"), (3, None), (4, "N")]
 
 
+def test_first_candidate_by_the_order_of_the_dimension(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", "a")], "k_1 string, k_2 string")
+    dim = spark.createDataFrame(
+        [("a", "z", 1), ("a", "y", 2), ("b", "q", 5), ("b", "p", 5), ("c", None, 1), ("c", "w", 2)], "k string, v string, seq int"
+    )
+    one = j.enrich_left(df.withColumnRenamed("k_1", "k"), dim, "k", "v", order=["seq"])
+    assert rows(one.select("k", "v"), "k") == [("a", "z"), ("c", "w")]
+    both = j.resolve_pair(df, dim, "k", "v", "k", "v", order=["seq"])
+    assert rows(both.select("v_1", "v_2"), "v_1") == [("w", "z"), ("z", "p")]
+    assert j.enrich_left(df.withColumnRenamed("k_1", "k"), dim, "k", "v").filter("k = 'a'").first()["v"] == "y"
+
+
+def test_fallback_on_both_sides(spark):
+    df = spark.createDataFrame([("64-17-5", "water"), ("water", "nothing"), (None, "water")], "c_1 string, c_2 string")
+    dim = spark.createDataFrame([("64-17-5", "ethanol", "CCO"), ("7732-18-5", "water", "O")], "cas string, name string, smiles string")
+    out = j.resolve_pair_with_fallback(df, dim, "c", "smiles", "cas", "name", "smiles")
+    assert rows(out.select("smiles_1", "smiles_2")) == [("CCO", "O")]
+
+
+def test_a_measured_side_leaves_the_facts_in_place(spark, plan, tmp_path):
+    spark.range(5000).selectExpr("id % 7 AS k", "id * 0.1 AS x").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    side = measured(facts.groupBy("k").agg(F.avg("x").alias("m")).filter("k < 5"))
+    for joined in (j.join_inner_keys(facts, side, ["k"]), j.join_left_keys(facts, side, ["k"]), j.join_many_to_many(facts, side, ["k"])):
+        text = plan(joined)
+        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
 def test_lookup_type_must_be_known(spark):
     df = spark.createDataFrame([("a",)], "id string")
     with pytest.raises(ValueError, match="Unknown lookup type"):
