@@ -11,13 +11,15 @@ with distance, and votes are calibrated on the examples, each left out of its ow
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pairflow.llm.common import remainder, slices_of, whole_text, with_text_key
@@ -36,32 +38,61 @@ OFTEN, HEAD_WORDS = 16, 100_000
 #: Blocks that a query rates before it has a neighbour to beat.
 FIRST_BLOCKS = 4
 FLUSH_WORDS = 300_000
+#: Words and postings that a task takes at a time, one text at least.
+CHUNK_WORDS, CHUNK_POSTINGS = 1 << 17, 1 << 17
+#: The lower case of each Latin-1 character, or a space for one that is in no word.
+LATIN = bytes(ord(c) if WORD.match(c) else 32 for c in "".join(map(chr, range(256))).lower())
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """``WORD`` in the lower-cased text; by a table of characters unless one is beyond Latin-1."""
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
+
+
+def words_in(batches):
+    """(rows, distinct words, row and word of each word in the rows), of ``CHUNK_WORDS`` words and the rest of a row at most."""
+    for batch in slices_of(batches):
+        texts, start = batch.column("text").to_pylist(), 0
+        while start < len(texts):
+            number, codes, total = defaultdict(itertools.count().__next__), [], 0
+            while start + len(codes) < len(texts) and total < CHUNK_WORDS:
+                found = words_of(texts[start + len(codes)])
+                codes.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+                total += len(found)
+            rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            yield batch.slice(start, len(codes)), list(number), rows, np.concatenate(codes)
+            start += len(codes)
+
+
+def tallied(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, times) of the distinct codes of each row, by row and code."""
+    pairs, times = np.unique(rows << 32 | codes, return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, times
 
 
 def _count_words(batches):
     """Rows and toxic rows that hold a word, combined before they leave the task; the empty word counts all rows."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    number, counts = {}, np.zeros((2, 0), dtype=np.int64)
 
     def rows():
-        words = list(counts[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "docs", "toxic"]
-        )
-
-    for batch in slices_of(batches):
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = {"", *words_of(text)}
-            counts[0].update(words)
-            if toxic:
-                counts[1].update(words)
-            if len(counts[0]) > FLUSH_WORDS:
-                yield rows()
-                counts[0].clear()
-                counts[1].clear()
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.string()), *map(pa.array, counts[:, : len(number)])], names=["word", "docs", "toxic"])
+
+    for batch, words, row, codes in words_in(batches):
+        words.append("")
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        row, code, _ = tallied(row, codes)
+        place = np.array([number.setdefault(w, len(number)) for w in words])
+        if len(number) > counts.shape[1]:
+            counts = np.pad(counts, ((0, 0), (0, 2 * len(number) - counts.shape[1])))
+        for into, of, n in zip(counts, (code, code[toxic[row]]), (len(toxic), toxic.sum())):
+            into[place] += np.bincount(of, minlength=len(words))
+            into[place[-1]] += n
+        if len(number) > FLUSH_WORDS:
+            yield rows()
+            number, counts = {}, np.zeros((2, 0), dtype=np.int64)
     yield rows()
 
 
@@ -89,10 +120,11 @@ def word_weights(texts: DataFrame, train: DataFrame) -> DataFrame:
     return counts.filter("word <> ''").join(told, "word", "left").select("word", (idf * tells).alias("weight"), "docs").checkpoint()
 
 
-def slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All positions of the given ranges, one range after the other."""
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the given ranges, one range after the other, and the range of each."""
     lengths = ends - starts
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    of = np.repeat(np.arange(len(starts)), lengths)
+    return (starts - np.cumsum(lengths) + lengths)[of] + np.arange(len(of)), of
 
 
 class BlockMaxIndex:
@@ -117,7 +149,7 @@ class BlockMaxIndex:
         place[order] = np.arange(n)
         self.labels, self.ids = labels[order], [ids[k] for k in order]
         rows = place[rows]
-        self.n_blocks, self.block_starts = -(-n // BLOCK), np.arange(0, n, BLOCK)
+        self.n_blocks = -(-n // BLOCK)
         # the vectors by example, to leave each out in turn
         by_row = np.lexsort((terms, rows))
         self.row_terms, self.row_weights = terms[by_row], weights[by_row]
@@ -125,7 +157,7 @@ class BlockMaxIndex:
         # terms in many examples are added for all of them at once
         often = np.bincount(terms, minlength=n_terms) * OFTEN > max(n, 1)
         self.dense_of = np.where(often, np.cumsum(often) - 1, -1)
-        self.dense = np.zeros((int(often.sum()), n))
+        self.dense = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
         self.dense[self.dense_of[terms[often[terms]]], rows[often[terms]]] = weights[often[terms]]
         rows, weights, terms = (v[~often[terms]] for v in (rows, weights, terms))
         by_term = np.lexsort((rows, terms))
@@ -136,46 +168,66 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, cut) if len(cut) else np.empty(0)
         self.first = np.searchsorted(terms[cut], np.arange(n_terms + 1))
 
-    def vector(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        own = slice(self.row_starts[k], self.row_starts[k + 1])
-        return self.row_terms[own], self.row_weights[own]
-
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, leave=-1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, products) of the k nearest with a positive product, without ``leave``; of equal ones the first examples."""
-        at, weights = np.asarray(at, dtype=int), np.asarray(weights, dtype=float)
+        at, out = np.asarray(at, dtype=int), np.atleast_1d(leave)
+        leave = np.array([(0, x) for x in out if x >= 0], dtype=int).reshape(-1, 2)
+        return self.nearest_of(np.zeros(len(at), dtype=int), at, np.asarray(weights, dtype=float), 1, k, leave)[1:]
+
+    def nearest_of(self, query: np.ndarray, at: np.ndarray, weights: np.ndarray, n: int, k: int, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, example, product) of the nearest of ``n`` queries, as of :meth:`nearest`; by query, the nearest first.
+
+        ``query`` tells whose the distinct terms ``at`` are and never falls; ``leave`` has pairs of a query and an
+        example.  As many queries are rated together as have ``CHUNK_POSTINGS`` postings.
+        """
+        n_postings = (self.starts[self.first[at + 1]] - self.starts[self.first[at]]) if len(at) else at
+        effort = len(self.labels) + np.bincount(query, weights=n_postings, minlength=n)
+        part = (np.cumsum(effort) - effort) // CHUNK_POSTINGS
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), n]
+        found = [(np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0))]
+        for low, high in zip(cuts, cuts[1:]):
+            own = slice(*np.searchsorted(query, (low, high)))
+            out = leave[(leave[:, 0] >= low) & (leave[:, 0] < high)]
+            q, examples, products = self._rate(query[own] - low, at[own], weights[own], high - low, k, (out[:, 0] - low, out[:, 1]))
+            found.append((q + low, examples, products))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _rate(self, query, at, weights, n: int, k: int, leave) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(self.labels):
-            return np.empty(0, dtype=int), np.empty(0)
+            return np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0)
+        size = self.n_blocks * BLOCK
         dense = self.dense_of[at]
-        base = weights[dense >= 0] @ self.dense[dense[dense >= 0]]
-        at, weights = at[dense < 0], weights[dense < 0]
-        cells = slices(self.first[at], self.first[at + 1])
-        of = np.repeat(weights, self.first[at + 1] - self.first[at])
-        block = self.block[cells]
-        bound = np.maximum.reduceat(base, self.block_starts) + np.bincount(block, weights=self.most[cells] * of, minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        found, products = np.empty(0, dtype=int), np.empty(0)
-        for turn in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            worst = products.min() if len(found) >= k else 0.0
-            wanted = np.zeros(self.n_blocks, dtype=bool)
-            wanted[turn[(bound[turn] > 0) & (bound[turn] >= worst - 1e-12)]] = True
-            if not wanted.any():
-                continue
-            use = wanted[block]
-            starts, ends = self.starts[cells[use]], self.starts[cells[use] + 1]
-            entries = slices(starts, ends)
-            close = np.bincount(self.row[entries], weights=self.weight[entries] * np.repeat(of[use], ends - starts), minlength=len(self.labels))
-            close = np.where(np.repeat(wanted, BLOCK)[: len(base)], close + base, 0.0)
-            hit = np.flatnonzero(close > 0)
-            hit = hit[~np.isin(hit, leave)]
-            found, products = np.append(found, hit), np.append(products, close[hit])
-            if len(found) > k:
-                least = np.partition(products, len(found) - k)[len(found) - k]
-                near = products >= least - 1e-9
-                found, products = found[near], products[near]
-                top = np.lexsort((found, -np.round(products, 12)))[:k]
-                found, products = found[top], products[top]
-        top = np.lexsort((found, -np.round(products, 12)))
-        return found[top], products[top]
+        often, frequent = dense >= 0, np.zeros((n, len(self.dense)))
+        frequent[query[often], dense[often]] = weights[often]
+        base = (frequent @ self.dense).reshape(n, self.n_blocks, BLOCK)
+        query, at, weights = query[~often], at[~often], weights[~often]
+        cells, of = ranges(self.first[at], self.first[at + 1])
+        query, weights = query[of], weights[of]
+        place = query * self.n_blocks + self.block[cells]
+        bound = np.bincount(place, weights=self.most[cells] * weights, minlength=n * self.n_blocks).reshape(n, -1) + base.max(axis=2)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, best, True, axis=1)
+        products, worst = np.zeros(base.shape), np.zeros((n, 1))
+        for turn in (first, ~first):
+            wanted = turn & (bound > 0) & (bound >= worst - 1e-12)
+            use = np.flatnonzero(wanted.ravel()[place])
+            entries, of = ranges(self.starts[cells[use]], self.starts[cells[use] + 1])
+            of = use[of]
+            close = np.bincount(query[of] * size + self.row[entries], weights=self.weight[entries] * weights[of], minlength=n * size)
+            products += np.where(wanted[:, :, None], close.reshape(base.shape) + base, 0.0)
+            products.reshape(n, size)[leave] = 0.0
+            if turn is first:
+                found = np.take_along_axis(products, best[:, :, None], axis=1).reshape(n, -1)
+                if found.shape[1] > k:
+                    worst = np.maximum(np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k, None], 0.0)
+        products = products.reshape(n, size)
+        query, examples = np.nonzero((products > 0) & (products >= worst - 1e-9))
+        products = products[query, examples]
+        order = np.lexsort((examples, -np.round(products, 12), query))
+        query, examples, products = query[order], examples[order], products[order]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[top], examples[top], products[top]
 
 
 class ToxicityModel:
@@ -193,7 +245,11 @@ class ToxicityModel:
     def calibrate(self) -> None:
         """Isotonic steps from votes to observed rates, from the examples, each without itself."""
         labels = self.index.labels
-        votes = [self.vote(*self.index.nearest(*self.index.vector(k), self.k, leave=k)) for k in range(len(labels))]
+        rows = np.arange(len(labels))
+        of = np.repeat(rows, np.diff(self.index.row_starts))
+        query, found, products = self.index.nearest_of(of, self.index.row_terms, self.index.row_weights, len(rows), self.k, np.stack([rows, rows], axis=1))
+        ends = np.searchsorted(query, rows[1:])
+        votes = [self.vote(*near) for near in zip(np.split(found, ends), np.split(products, ends))] if len(rows) else []
         self.steps = isotonic(np.array(votes), labels, self.stands_for[labels.astype(int)])
 
     def score(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -262,11 +318,15 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
         first.setdefault((r["doc_id"], r["rank"]), []).append(k)
     coded = listed.column("word").combine_chunks().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    words = coded.dictionary.to_pylist() if rows else []
+    rising = pc.sort_indices(coded.dictionary)
+    words = coded.dictionary.take(rising).to_pylist() if rows else []
     owner = [first.get(x, []) for x in zip(listed.column("doc_id").to_pylist(), listed.column("rank").to_pylist())]
     entry = np.repeat(np.arange(len(owner)), [len(o) for o in owner]).astype(int)
     row_of = np.array([k for o in owner for k in o], dtype=int)
-    code, times, held = coded.indices.to_numpy().astype(int), listed.column("n").to_numpy().astype(float), listed.column("weight").to_numpy()
+    code = np.argsort(rising.to_numpy())[coded.indices.to_numpy()]
+    order = np.lexsort((code[entry], row_of))  # whatever order the rows came in
+    entry, row_of = entry[order], row_of[order]
+    times, held = listed.column("n").to_numpy().astype(float), listed.column("weight").to_numpy()
     term_of, of_word = code[entry], np.zeros(len(words))
     of_word[term_of] = held[entry]
     weight = times[entry] * held[entry]
@@ -290,35 +350,39 @@ def _search(token: str, shared, columns: list[str]):
         if token not in _models:
             _models.clear()
             model, head = shared.value
-            frequent = dict(zip(head.column("word").to_pylist(), head.column("weight").to_pylist()))
+            number = {w: k for k, w in enumerate(model.words)}
+            frequent = [(w, x) for w, x in zip(head.column("word").to_pylist(), head.column("weight").to_pylist()) if w not in number]
+            number |= {w: len(number) + k for k, (w, _) in enumerate(frequent)}
             place: dict = {}
             for k, x in enumerate(model.index.ids):
                 place.setdefault(x, []).append(k)
-            _models[token] = model, {w: k for k, w in enumerate(model.words)}, place, frequent
-        model, number, place, frequent = _models[token]
-        for batch in slices_of(batches):
-            out = [[] for _ in range(6)]
-            for text, doc_id, rank in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "rank"))):
-                at, times, other, other_times, square = [], [], [], [], 0.0
-                for word, n in Counter(words_of(text)).items():
-                    k = number.get(word)
-                    if k is not None:
-                        at.append(k)
-                        times.append(n)
-                    elif (weight := frequent.get(word)) is not None:
-                        square += (n * weight) ** 2
-                    else:
-                        other.append(word)
-                        other_times.append(n)
-                weights = np.array(times, dtype=float) * model.weights[at] if at else np.empty(0)
-                leave = place.get((doc_id, rank), -1)  # a row's own label says nothing about it
-                found, products = model.index.nearest(np.array(at, dtype=int), weights, model.k, leave) if at else ([], [])
-                worded = bool(at or other or square)
-                for into, value in zip(out, (worded, list(found), list(products), float(weights @ weights) + square, other, other_times)):
-                    into.append(value)
-            types = (pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            found = [pa.array(values, kind) for values, kind in zip(out, types)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *found], names=[*columns, "worded", "found", "products", "known", "other", "times"])
+            _models[token] = model, number, np.append(model.weights, [x for _, x in frequent]), place
+        model, number, weight_of, place = _models[token]
+        for batch, words, owner, codes in words_in(batches):
+            n, number_of = batch.num_rows, np.array([number.get(w, -1) for w in words], dtype=np.int64)
+            worded = np.bincount(owner, minlength=n) > 0
+            owner, codes, times = tallied(owner, codes)
+            numbers = number_of[codes]
+            held = np.flatnonzero(numbers >= 0)
+            held = held[np.lexsort((numbers[held], owner[held]))]
+            row, code, times_held = owner[held], numbers[held], times[held]
+            weights = times_held * weight_of[code]
+            known, example = np.bincount(row, weights=weights**2, minlength=n), code < len(model.words)
+            keys = enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("rank").to_pylist()))
+            # a row's own label says nothing about it
+            leave = np.array([(k, x) for k, key in keys for x in place.get(key, ())], dtype=int).reshape(-1, 2)
+            query, found, products = model.index.nearest_of(row[example], code[example], weights[example], n, model.k, leave)
+            other = numbers < 0
+            lists = lambda rows, values: pa.ListArray.from_arrays(np.append(0, np.bincount(rows, minlength=n).cumsum()).astype(np.int32), values)
+            made = [
+                pa.array(worded),
+                lists(query, pa.array(found, pa.int32())),
+                lists(query, pa.array(products, pa.float64())),
+                pa.array(known, pa.float64()),
+                lists(owner[other], pa.array(words, pa.string()).take(pa.array(codes[other]))),
+                lists(owner[other], pa.array(times[other], pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, "worded", "found", "products", "known", "other", "times"])
 
     return run
 

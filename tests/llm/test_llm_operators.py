@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,45 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosines, best[best > 0][:10])
 
 
+@pytest.mark.parametrize("postings", [1, 300, 1 << 20])
+def test_nearest_of_many_queries(monkeypatch, postings):
+    monkeypatch.setattr(toxicity, "CHUNK_POSTINGS", postings)
+    rng = np.random.default_rng(3)
+    vectors = rng.random((300, 40)) * (rng.random((300, 40)) < np.linspace(0.01, 0.3, 40))
+    vectors[200:250] = vectors[:50]  # ties
+    index = toxicity.BlockMaxIndex(vectors, np.zeros(300), list(range(300)))
+    queries = np.vstack([vectors, rng.random((30, 40)) * (rng.random((30, 40)) < 0.2), np.zeros((1, 40))])
+    place, n = {x: k for k, x in enumerate(index.ids)}, len(queries)
+    leave = np.array([(q, place[q]) for q in range(300)] + [(q + 200, place[q]) for q in range(50)])
+    query, at = np.nonzero(queries)
+    found = [np.array(x) for x in index.nearest_of(query, at, queries[query, at], n, 10, leave)]
+    products = np.round(queries @ vectors[index.ids].T, 12)
+    products[leave[:, 0], leave[:, 1]] = 0
+    for q in range(n):
+        order = [k for k in np.lexsort((np.arange(300), -products[q])) if products[q, k] > 0][:10]
+        assert found[1][found[0] == q].tolist() == order and np.allclose(found[2][found[0] == q], products[q, order])
+
+
+def test_words_and_their_numbers(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 50)
+    texts = ["".join(map(chr, range(256))), "", "".join(f"a{chr(k)}B" for k in range(256)), "KŮŇ ΟΔΟΣ “\u0130x” one_two3", "x\x85y\xa0z\x1fz \xaa\xb2", "w " * 120, "W w É"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0, 1, 0, 1, 0, 1, 0], pa.int32())], names=["text", "toxic"])
+    want = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
+    assert [toxicity.words_of(t) for t in texts] == want
+    chunks = list(toxicity.words_in([batch, batch.slice(0, 0)]))
+    assert len(chunks) > 2 and [t for c in chunks for t in c[0].column("text").to_pylist()] == texts
+    assert [[words[k] for k in codes[rows == r]] for b, words, rows, codes in chunks for r in range(b.num_rows)] == want
+    counts = Counter(w for t in want for w in {"", *t}), Counter(w for t in want[1::2] for w in {"", *t})
+    for flush in (1 << 20, 5):
+        monkeypatch.setattr(toxicity, "FLUSH_WORDS", flush)
+        got = (Counter(), Counter())
+        for rows in toxicity._count_words([batch]):
+            for word, *both in zip(*(c.to_pylist() for c in rows.columns)):
+                for c, x in zip(got, both):
+                    c[word] += x
+        assert got[0] == counts[0] and +got[1] == counts[1]
+
+
 def test_toxicity_uses_all_words(spark):
     rng, rows = random.Random(12), []
     vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(2500)]
