@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -39,7 +38,7 @@ OFTEN, HEAD_WORDS = 16, 100_000
 FIRST_BLOCKS = 4
 FLUSH_WORDS = 300_000
 #: Words and postings that a task takes at a time, one text at least.
-CHUNK_WORDS, CHUNK_POSTINGS = 1 << 17, 1 << 17
+CHUNK_WORDS, CHUNK_POSTINGS = 1 << 16, 1 << 17
 #: The lower case of each Latin-1 character, or a space for one that is in no word.
 LATIN = bytes(ord(c) if WORD.match(c) else 32 for c in "".join(map(chr, range(256))).lower())
 
@@ -86,7 +85,7 @@ def _count_words(batches):
         row, code, _ = tallied(row, codes)
         place = np.array([number.setdefault(w, len(number)) for w in words])
         if len(number) > counts.shape[1]:
-            counts = np.pad(counts, ((0, 0), (0, 2 * len(number) - counts.shape[1])))
+            counts = np.pad(counts, ((0, 0), (0, len(number) * 5 // 4 + 1 - counts.shape[1])))
         for into, of, n in zip(counts, (code, code[toxic[row]]), (len(toxic), toxic.sum())):
             into[place] += np.bincount(of, minlength=len(words))
             into[place[-1]] += n
@@ -234,7 +233,22 @@ class ToxicityModel:
     def __init__(self, words: list[str], weights: np.ndarray, index: BlockMaxIndex, rate: float, blank_rate: float, stands_for: np.ndarray, k: int = NEIGHBOURS):
         self.words, self.weights, self.index, self.k = words, weights, index, k
         self.rate, self.blank_rate, self.stands_for = rate, blank_rate, stands_for
-        self.steps = None
+        self.steps = self.lookup = None
+
+    def look_up(self, head: pa.Table) -> tuple[dict, np.ndarray, dict]:
+        """Numbers of the words of examples and then of the words of ``head``, their weights, and the examples by id.
+
+        Made once a process, and kept with the model, so that a worker gives both up when it is sent other work.
+        """
+        if self.lookup is None:
+            number = {w: k for k, w in enumerate(self.words)}
+            frequent = [(w, x) for w, x in zip(head.column("word").to_pylist(), head.column("weight").to_pylist()) if w not in number]
+            number |= {w: len(number) + k for k, (w, _) in enumerate(frequent)}
+            place: dict = {}
+            for k, x in enumerate(self.index.ids):
+                place.setdefault(x, []).append(k)
+            self.lookup = number, np.append(self.weights, [x for _, x in frequent]), place
+        return self.lookup
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Weighted share of toxic neighbours; a weight falls with distance, and counts the rows that an example stands for."""
@@ -340,24 +354,12 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
     return model
 
 
-_models: dict = {}
-
-
-def _search(token: str, shared, columns: list[str]):
+def _search(shared, columns: list[str]):
     """For each row its nearest examples by product, the squared norm of the words of examples, and the other words."""
 
     def run(batches):
-        if token not in _models:
-            _models.clear()
-            model, head = shared.value
-            number = {w: k for k, w in enumerate(model.words)}
-            frequent = [(w, x) for w, x in zip(head.column("word").to_pylist(), head.column("weight").to_pylist()) if w not in number]
-            number |= {w: len(number) + k for k, (w, _) in enumerate(frequent)}
-            place: dict = {}
-            for k, x in enumerate(model.index.ids):
-                place.setdefault(x, []).append(k)
-            _models[token] = model, number, np.append(model.weights, [x for _, x in frequent]), place
-        model, number, weight_of, place = _models[token]
+        model, head = shared.value
+        number, weight_of, place = model.look_up(head)
         for batch, words, owner, codes in words_in(batches):
             n, number_of = batch.num_rows, np.array([number.get(w, -1) for w in words], dtype=np.int64)
             worded = np.bincount(owner, minlength=n) > 0
@@ -401,7 +403,7 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     keyed = with_text_key(docs, id_col, text, held_out, rank)
     columns, kind = ["doc_id", "text_key", "held_out"], docs.schema[id_col].dataType.simpleString()
     searched = keyed.mapInArrow(
-        _search(uuid.uuid4().hex, shared, columns),
+        _search(shared, columns),
         f"doc_id {kind}, text_key long, held_out boolean, worded boolean, found array<int>, products array<double>, known double, other array<string>, times array<int>",
     )
     searched = searched.withColumn("row", F.monotonically_increasing_id()).checkpoint()
