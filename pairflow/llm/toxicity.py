@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairflow.llm.common import remainder, slices_of, whole_text, with_text_key
 from pairflow.operators.sizing import measured
-from pairflow.session import ensure_checkpoint_dir
+from pairflow.session import ensure_checkpoint_dir, give_back_memory
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -354,6 +354,12 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
     return model
 
 
+def fitted(weights: DataFrame, train: DataFrame) -> tuple[ToxicityModel, pa.Table]:
+    """What a task of the search holds: the model, and the most frequent words with their weights."""
+    head = weights.orderBy(F.desc("docs"), "word").limit(HEAD_WORDS).select("word", "weight")
+    return fit_toxicity(weights, train), head.toArrow()
+
+
 def _search(shared, columns: list[str]):
     """For each row its nearest examples by product, the squared norm of the words of examples, and the other words."""
 
@@ -395,9 +401,8 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ensure_checkpoint_dir(spark)
     train = labelled(docs, labels, id_col, text, label)
     weights = word_weights(docs.select(whole_text(docs, text).alias("text")), train)
-    model = fit_toxicity(weights, train)
-    head = weights.orderBy(F.desc("docs"), "word").limit(HEAD_WORDS).select("word", "weight").toArrow()
-    shared = spark.sparkContext.broadcast((model, head))
+    shared = spark.sparkContext.broadcast(fitted(weights, train))
+    give_back_memory()
     whole = whole_text(docs, text)
     held_out, rank = (remainder(docs[id_col], FOLDS) == HELD_OUT).alias("held_out"), F.xxhash64(docs[id_col], whole).alias("rank")
     keyed = with_text_key(docs, id_col, text, held_out, rank)

@@ -1,9 +1,13 @@
 """The pipeline on small tables, each stage against brute force on what the stage before kept."""
 
+import gc
 import random
+import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_llm_operators import SCHEMA, brute_components, brute_windows
@@ -148,3 +152,26 @@ def test_toxic_copies_are_judged_by_id_and_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "toxicity_rates", rates)
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
     assert got == Counter((r[0], r[1]) for r in rows if (r[0], r[1]) not in bad)
+
+
+def test_toxicity_leaves_the_driver_no_memory_of_its_model(spark, folder, tmp_path):
+    """The driver runs all later stages beside what its Python keeps (Linux only)."""
+    rollup = Path("/proc/self/smaps_rollup")
+    if not rollup.exists():
+        pytest.skip("memory can't be read here")
+
+    def kept():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", rollup.read_text()))) / 1024
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.translate((F.xxhash64("id", i) % 40_000).cast("string"), "-0123456789", "kabcdefghij"))
+    text = F.concat_ws(" ", words, F.when(F.col("id") % 5 == 0, "vile awful rotten"))
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(4_000).selectExpr("id as doc_id", "1 as quality", "int(id % 5 = 0) as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes = []
+    for of in (folder[0], str(tmp_path)):  # the first brings the imports
+        rows = corpus_pipeline.drop_toxic(spark, corpus_pipeline.table(spark, of, "documents"), of).count()
+        gc.collect()
+        sizes.append(kept())
+    assert 3_000 < rows < 3_400
+    assert sizes[1] - sizes[0] < 40
