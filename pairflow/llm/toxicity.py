@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pairflow.llm.common import remainder, slices_of, whole_text, with_text_key
 from pairflow.operators.sizing import measured
@@ -73,40 +73,39 @@ def tallied(rows: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count_words(batches):
-    """Rows and toxic rows that hold a word, combined before they leave the task; the empty word counts all rows."""
-    number, counts = {}, np.zeros((2, 0), dtype=np.int64)
+    """Rows, toxic rows and labelled rows that hold a word, combined before they leave the task; the empty word counts all rows."""
+    number, counts = {}, np.zeros((3, 0), dtype=np.int64)
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(number, pa.string()), *map(pa.array, counts[:, : len(number)])], names=["word", "docs", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.string()), *map(pa.array, counts[:, : len(number)])], names=["word", "docs", "toxic", "seen"])
 
     for batch, words, row, codes in words_in(batches):
         words.append("")
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        label = pc.fill_null(batch.column("toxic"), -1).to_numpy(zero_copy_only=False)
+        toxic, seen = label == 1, label >= 0
         row, code, _ = tallied(row, codes)
         place = np.array([number.setdefault(w, len(number)) for w in words])
         if len(number) > counts.shape[1]:
             counts = np.pad(counts, ((0, 0), (0, len(number) * 5 // 4 + 1 - counts.shape[1])))
-        for into, of, n in zip(counts, (code, code[toxic[row]]), (len(toxic), toxic.sum())):
+        for into, of, n in zip(counts, (code, code[toxic[row]], code[seen[row]]), (len(label), toxic.sum(), seen.sum())):
             into[place] += np.bincount(of, minlength=len(words))
             into[place[-1]] += n
         if len(number) > FLUSH_WORDS:
             yield rows()
-            number, counts = {}, np.zeros((2, 0), dtype=np.int64)
+            number, counts = {}, np.zeros((3, 0), dtype=np.int64)
     yield rows()
 
 
-def word_weights(texts: DataFrame, train: DataFrame) -> DataFrame:
-    """word, weight, docs of every word of ``texts`` (text): idf over all of them, times how well it tells the labels of ``train`` apart.
+def word_weights(texts: DataFrame) -> DataFrame:
+    """word, weight, docs of every word of ``texts`` (text, toxic): idf over all of them, times how well it tells the labels apart.
 
-    The second factor rises smoothly with the likelihood ratio of the word and the label, from
+    A null label teaches nothing.  The second factor rises smoothly with the likelihood ratio of the word and the label, from
     ``LEAST`` for a word that tells nothing or is in no labelled row, to 1; no word is left out.
     """
-    count = lambda rows: rows.mapInArrow(_count_words, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-    counts = count(texts.select("text", F.lit(0).alias("toxic"))).select("word", "docs").checkpoint()
-    told = count(train.select("text", "toxic")).select("word", F.col("docs").alias("seen"), "toxic").checkpoint()
-    docs = (counts.filter("word = ''").first() or ("", 0))[1]
-    _, n, toxic = told.filter("word = ''").first() or ("", 0, 0)
-    seen, bad = F.coalesce("seen", F.lit(0)), F.coalesce("toxic", F.lit(0))
+    counted = texts.select("text", "toxic").mapInArrow(_count_words, "word string, docs long, toxic long, seen long")
+    counts = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "seen")]).checkpoint()
+    _, docs, toxic, n = counts.filter("word = ''").first() or ("", 0, 0, 0)
+    seen, bad = F.col("seen"), F.col("toxic")
     rate = seen / F.lit(max(n, 1))
     part = lambda got, of: F.when((got > 0) & (of > 0), got * F.log(got / of)).otherwise(0.0)
     ratio = 2 * (
@@ -116,7 +115,7 @@ def word_weights(texts: DataFrame, train: DataFrame) -> DataFrame:
     ratio = F.greatest(ratio, F.lit(0.0))
     idf = F.log((1 + F.lit(docs)) / (1 + F.col("docs"))) + 1
     tells = LEAST + (1 - LEAST) * F.pow(ratio / (ratio + HALF_RATIO), 2)
-    return counts.filter("word <> ''").join(told, "word", "left").select("word", (idf * tells).alias("weight"), "docs").checkpoint()
+    return counts.filter("word <> ''").select("word", (idf * tells).alias("weight"), "docs")
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +319,7 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
     chosen = chosen.select("doc_id", "toxic", "rank").checkpoint()
     texts = train.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rank")).join(measured(chosen.select("rank").distinct()), "rank", "left_semi")
     texts = texts.dropDuplicates(["doc_id", "rank"]).select("doc_id", "rank", "text")  # of equal rows one is fetched
-    listed = texts.mapInArrow(vectors, f"doc_id {kind}, rank long, word string, n int").join(weights.select("word", "weight"), "word").toArrow()
+    listed = texts.mapInArrow(vectors, f"doc_id {kind}, rank long, word string, n int").toArrow()
     rows = chosen.orderBy("toxic", "rank", "doc_id").collect()
     rate = ((toxic or 0) + 0.5) / ((total or 0) + 1)
     blank_rate = ((blank_toxic or 0) + 0.5 * rate) / ((blank or 0) + 0.5)
@@ -333,35 +332,40 @@ def fit_toxicity(weights: DataFrame, train: DataFrame, most_examples: int = MAX_
     coded = listed.column("word").combine_chunks().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     rising = pc.sort_indices(coded.dictionary)
-    words = coded.dictionary.take(rising).to_pylist() if rows else []
+    words, of_word = coded.dictionary.take(rising)[: None if rows else 0], np.zeros(0)
+    if len(words):  # the words are few, the weights many: these stay where they are
+        own = train.sparkSession.createDataFrame(pa.table({"word": words}))
+        held = weights.join(F.broadcast(own), "word").select("word", "weight").toArrow()
+        of_word = held.column("weight").to_numpy()[pc.index_in(words, value_set=held.column("word").combine_chunks()).to_numpy()]
     owner = [first.get(x, []) for x in zip(listed.column("doc_id").to_pylist(), listed.column("rank").to_pylist())]
     entry = np.repeat(np.arange(len(owner)), [len(o) for o in owner]).astype(int)
     row_of = np.array([k for o in owner for k in o], dtype=int)
     code = np.argsort(rising.to_numpy())[coded.indices.to_numpy()]
     order = np.lexsort((code[entry], row_of))  # whatever order the rows came in
     entry, row_of = entry[order], row_of[order]
-    times, held = listed.column("n").to_numpy().astype(float), listed.column("weight").to_numpy()
-    term_of, of_word = code[entry], np.zeros(len(words))
-    of_word[term_of] = held[entry]
-    weight = times[entry] * held[entry]
+    term_of = code[entry]
+    weight = listed.column("n").to_numpy().astype(float)[entry] * of_word[term_of]
     norms = np.sqrt(np.bincount(row_of, weights=weight**2, minlength=len(rows)))
     labels = np.array([r["toxic"] for r in rows], dtype=float)
     index = BlockMaxIndex.of_postings(row_of, term_of, weight / norms[row_of], len(words), labels, [(r["doc_id"], r["rank"]) for r in rows])
     with_word = np.array([total - blank - (toxic or 0) + (blank_toxic or 0), (toxic or 0) - (blank_toxic or 0)])
     stands_for = with_word / np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
-    model = ToxicityModel(words, of_word, index, rate, blank_rate, stands_for)
+    model = ToxicityModel(words.to_pylist(), of_word, index, rate, blank_rate, stands_for)
     model.calibrate()
     return model
 
 
 def fitted(weights: DataFrame, train: DataFrame) -> tuple[ToxicityModel, pa.Table]:
     """What a task of the search holds: the model, and the most frequent words with their weights."""
-    head = weights.orderBy(F.desc("docs"), "word").limit(HEAD_WORDS).select("word", "weight")
+    # a row for each number of documents that words have, so that few words are ordered below
+    by_docs = weights.groupBy("docs").count().select("docs", F.sum("count").over(Window.orderBy(F.desc("docs"))).alias("words"))
+    fewest = by_docs.filter(F.col("words") >= HEAD_WORDS).agg(F.max("docs")).first()[0] or 0
+    head = weights.filter(F.col("docs") >= fewest).orderBy(F.desc("docs"), "word").limit(HEAD_WORDS).select("word", "weight")
     return fit_toxicity(weights, train), head.toArrow()
 
 
 def _search(shared, columns: list[str]):
-    """For each row its nearest examples by product, the squared norm of the words of examples, and the other words."""
+    """For each row its nearest examples by product, the squared norm of the words of examples, and the other words, joined by spaces."""
 
     def run(batches):
         model, head = shared.value
@@ -387,7 +391,7 @@ def _search(shared, columns: list[str]):
                 lists(query, pa.array(found, pa.int32())),
                 lists(query, pa.array(products, pa.float64())),
                 pa.array(known, pa.float64()),
-                lists(owner[other], pa.array(words, pa.string()).take(pa.array(codes[other]))),
+                pc.binary_join(lists(owner[other], pa.array(words, pa.string()).take(pa.array(codes[other]))), " "),
                 lists(owner[other], pa.array(times[other], pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=[*columns, "worded", "found", "products", "known", "other", "times"])
@@ -399,8 +403,9 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, text_key, held_out, s (score and evidence) of each row, by a model fitted on the labelled rows that are not held out."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    train = labelled(docs, labels, id_col, text, label)
-    weights = word_weights(docs.select(whole_text(docs, text).alias("text")), train)
+    rows = labelled(docs, labels, id_col, text, label)
+    weights = word_weights(rows)
+    train = rows.filter((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
     shared = spark.sparkContext.broadcast(fitted(weights, train))
     give_back_memory()
     whole = whole_text(docs, text)
@@ -409,10 +414,11 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     columns, kind = ["doc_id", "text_key", "held_out"], docs.schema[id_col].dataType.simpleString()
     searched = keyed.mapInArrow(
         _search(shared, columns),
-        f"doc_id {kind}, text_key long, held_out boolean, worded boolean, found array<int>, products array<double>, known double, other array<string>, times array<int>",
+        f"doc_id {kind}, text_key long, held_out boolean, worded boolean, found array<int>, products array<double>, known double, other string, times array<int>",
     )
     searched = searched.withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    others = searched.select("row", F.explode(F.arrays_zip("other", "times")).alias("o")).select("row", F.col("o.other").alias("word"), F.col("o.times").alias("n"))
+    listed = searched.select("row", F.explode(F.arrays_zip(F.split("other", " ").alias("word"), F.col("times").alias("n"))).alias("o"))
+    others = listed.select("row", "o.word", "o.n")
     rest = others.join(weights.select("word", "weight"), "word").groupBy("row").agg(F.sum(F.pow(F.col("n") * F.col("weight"), 2)).alias("rest"))
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:string,cosine:double>>")
@@ -429,7 +435,7 @@ def toxicity_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
-    """doc_id, text, toxic of rows to learn from; rows labelled both ways or neither are left out."""
+    """doc_id, text, toxic of all rows; toxic is null for those not to learn from, such as rows labelled both ways or neither."""
     one = (
         labels.select(labels[id_col].alias("doc_id"), labels[label].cast("int").alias("toxic"))
         .filter("doc_id is not null and toxic in (0, 1)")
@@ -438,7 +444,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
         .filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     )
     texts = docs.select(docs[id_col].alias("doc_id"), whole_text(docs, text).alias("text"))
-    return texts.filter(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).join(measured(one), "doc_id").select("doc_id", "text", "toxic")
+    return texts.join(measured(one), "doc_id", "left").select("doc_id", "text", "toxic")
 
 
 def toxicity_scores(

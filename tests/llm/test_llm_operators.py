@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pairflow.llm.decontaminate import decontaminate
 from pairflow.llm.exact_dedup import content_chunks, exact_dedup
 from pairflow.llm.line_dedup import line_dedup
 from pairflow.llm.url_filter import RULE_SCHEMA, filter_urls
+from pairflow.session import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 997}" for k in range(60_000))
@@ -345,6 +347,49 @@ def test_words_and_their_numbers(monkeypatch):
         assert got[0] == counts[0] and +got[1] == counts[1]
 
 
+def test_unlabelled_rows_count_as_rows_only():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", "a", "a c", "c"]), pa.array([1, None, 0, None], pa.int32())], names=["text", "toxic"])
+    got = {w: tuple(n) for rows in toxicity._count_words([batch]) for w, *n in zip(*(c.to_pylist() for c in rows.columns))}
+    assert got == {"": (4, 1, 2), "a": (3, 1, 2), "b": (1, 1, 1), "c": (2, 0, 1)}  # rows, toxic, labelled
+
+
+def test_toxicity_puts_little_on_disk(spark, monkeypatch):
+    """Words are counted in one pass, and no table of them or of the rows' other words is kept twice."""
+    rng, read, plain = random.Random(5), spark.sparkContext.accumulator(0), toxicity._count_words
+
+    def counting(batches):
+        def seen():
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        yield from plain(seen())
+
+    monkeypatch.setattr(toxicity, "_count_words", counting)
+    monkeypatch.setattr(toxicity, "MAX_EXAMPLES", 20)
+    monkeypatch.setattr(toxicity, "HEAD_WORDS", 20)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(150)) + " vile" * (k % 4 == 0), "en", "s", 0) for k in range(800)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    kept = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = kept()
+    assert toxicity.toxicity_scores(docs, labels).count() == 800
+    assert read.value == 800
+    assert kept() - before < 2.5 * sum(len(r[1]) for r in rows)
+
+
+@pytest.mark.parametrize("most", [1, 3, 4, 100])
+def test_words_that_every_task_holds(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "HEAD_WORDS", most)
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *_: None)
+    docs = {"e": 9, "d": 2, "b": 2, "c": 2, "a": 1, "f": 5}
+    weights = spark.createDataFrame([(w, float(n), n) for w, n in docs.items()], "word string, weight double, docs long")
+    _, head = toxicity.fitted(weights, None)
+    assert head.column("word").to_pylist() == sorted(docs, key=lambda w: (-docs[w], w))[:most]
+    assert toxicity.fitted(weights.limit(0), None)[1].num_rows == 0
+
+
 def test_toxicity_uses_all_words(spark):
     rng, rows = random.Random(12), []
     vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(2500)]
