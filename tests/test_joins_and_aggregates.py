@@ -260,3 +260,20 @@ def test_a_late_restart_joins_few_pairs(spark):
     assert pairs.count() == total - start
     bounds = re.findall(r"\+ __pos#\d+L\) >=? (\d+)", pairs._jdf.queryExecution().optimizedPlan().toString())
     assert len(bounds) >= 2 and all(int(b) >= 0.89 * n for b in bounds)
+
+
+@pytest.mark.parametrize("n, fits", [(0, True), (1, True), (2, True), (50, True), (50, False)])
+def test_pairs_of_broadcast_blocks_and_of_shuffled_ones(spark, plan, monkeypatch, n, fits):
+    if not fits:
+        monkeypatch.setattr(j, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame([(k, f"e{k}" if k % 7 else None) for k in range(n)], "id long, name string").repartition(3)
+    for start, stop in [(0, None), (100, 1100)]:
+        pairs = j.all_pairs(df, ["id"], ["id", "name"], block=4, start=start, stop=stop)
+        want = [(k, a, b, a, f"e{a}" if a % 7 else None, b, f"e{b}" if b % 7 else None) for k, (a, b) in enumerate(itertools.combinations(range(n), 2))]
+        assert rows(pairs, "pair_index") == want[start:stop]
+
+
+def test_pairs_of_broadcast_blocks_shuffle_no_copies(spark, plan):
+    """Only the entities are shuffled, never a copy for each block that they meet."""
+    text = plan(j.all_pairs(spark.range(300), ["id"], ["id"], block=8))
+    assert "REPARTITION_BY_NUM" not in text and text.count("BroadcastHashJoin") >= 2
