@@ -32,7 +32,16 @@ def write_parquet_counted(df: DataFrame, path: str, mode: str = "errorifexists",
     """``by`` makes a folder of each value of these columns."""
     observed, observation = _observed(df)
     observed.write.mode(mode).partitionBy(*by).parquet(path)
-    return Written(path, observation.get["row_count"])
+    done = Written(path, observation.get["row_count"])
+    if by and not done.row_count:
+        _keep_columns(df, path, by)
+    return done
+
+
+def _keep_columns(df: DataFrame, path: str, by: list[str]) -> None:
+    """A table without rows has no folder of a value, and so no file: one without rows tells its columns."""
+    columns = [c for c in df.columns if c not in by] + [*by]
+    df.sparkSession.createDataFrame([], df.select(*columns).schema).write.mode("append").parquet(path)
 
 
 def write_csv_counted(df: DataFrame, path: str, index: str | None = None, mode: str = "errorifexists") -> Written:
@@ -83,7 +92,7 @@ def write_split_tables(
     data, extra = split_data_features(df, [split, *ids], targets, [split, *features], row_id)
     paths = f"{path}/data", f"{path}/features"
     for frame, target in zip((data, extra), paths):
-        frame.write.partitionBy(split).parquet(target)
+        write_parquet_counted(frame, target, by=[split])
     return paths
 
 

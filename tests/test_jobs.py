@@ -145,3 +145,14 @@ def test_parse_and_dataset_jobs(spark, tmp_path):
     assert len(rows) == 3 * 55  # entity 0 is in no dimension
     assert {r["smiles_2"] for r in rows if r["cas_number_2"] == "water"} == {"O"}
     assert all(abs(r["x1"] + r["x2"] - 1) < 1e-9 and r["temperature_k"] == 300.0 for r in rows)
+
+
+def test_no_group_in_range_leaves_empty_tables(spark, tmp_path):
+    """Every group goes: the stages with a folder per split have rows of no split, and still their columns."""
+    path = str(tmp_path / "job")
+    out = observations(spark).withColumn("ln_gamma_1", F.lit(9.0))
+    done = split_job(spark, path, obs=out)
+    assert done.made == STAGES and done["limited"].count() == 0
+    assert done["data"].join(done["features"], ["split", "row_id"]).count() == 0
+    assert set(done["data"].columns) == {"split", "row_id", "smiles_1", "smiles_2", "ln_gamma_1", "ln_gamma_2"}
+    assert split_job(spark, path, obs=out).made == []

@@ -162,3 +162,9 @@ def test_a_file_over_many_splits_is_numbered_through(spark, tmp_path, end):
     columns = list(got[0].asDict())
     in_order = lambda found: sorted((tuple(row[c] for c in columns) for row in found), key=lambda t: t[columns.index("block")])
     assert len(got) == 500 and in_order(got) == in_order(want.collect())
+
+
+def test_split_tables_without_rows(spark, tmp_path):
+    none = obs(spark).withColumn("split", F.lit("train")).filter("x1 > 5")
+    data, features = w.write_split_tables(none, str(tmp_path / "s"))
+    assert spark.read.parquet(data).join(spark.read.parquet(features), ["split", "row_id"]).count() == 0
