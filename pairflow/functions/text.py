@@ -36,6 +36,16 @@ def chunk_lines(lines: Column | str, size: int = fixed.LINES_PER_BLOCK) -> Colum
     return bind(as_column(lines), chunks)
 
 
+def text_blocks(text: Column | str, size: int = fixed.LINES_PER_BLOCK) -> Column:
+    """Array of the whole chunks of ``size`` lines of a text, each still one text; an incomplete tail is ignored.
+
+    The text is gone through once; ``chunk_lines`` goes through all lines for every chunk.
+    """
+    plain = F.replace(as_column(text), F.lit("\r\n"), F.lit("\n"))
+    ended = bind(plain, lambda t: F.when(t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n"))))
+    return F.regexp_extract_all(ended, F.lit(f"((?:[^\n]*\n){{{size - 1}}}[^\n]*)\n"), F.lit(1))
+
+
 def block_fields(block: Column | str) -> list[Column]:
     """The matched text of each field of one block; "" where there is no match."""
     block = as_column(block)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pairflow.functions import fixed
 from pairflow.functions.scalars import mixture_key
-from pairflow.functions.text import base_name, chunk_lines, extract_block, extract_names, split_ids, text_lines
+from pairflow.functions.text import base_name, extract_block, extract_names, split_ids, text_blocks, text_lines
 from pairflow.operators.sizing import measured
 from pairflow.schema import COMPOSITION, ENTITY_COLUMNS, TARGETS, TEMPERATURE
 
@@ -14,13 +14,13 @@ from pairflow.schema import COMPOSITION, ENTITY_COLUMNS, TARGETS, TEMPERATURE
 def parse_blocks(files: DataFrame, path: Column | str = "path", text: str = "text", strict: bool = True, carry: list[str] = ()) -> DataFrame:
     """One row per 8-line block of each (path, text) row."""
     id_1, id_2 = split_ids(path)
-    headed = files.select(*carry, id_1.alias("id_1"), id_2.alias("id_2"), text_lines(text).alias("__lines"))
-    name_1, name_2 = extract_names("__lines")
-    blocks = headed.select(
-        *carry, "id_1", "id_2", name_1.alias("names_1"), name_2.alias("names_2"),
-        F.posexplode(chunk_lines("__lines")).alias("block", "__block"),
-    )
-    return extract_block(blocks, "__block", strict)
+    head = text_lines(F.substring_index(text, "\n", fixed.LINES_PER_BLOCK))
+    headed = files.select(*carry, id_1.alias("id_1"), id_2.alias("id_2"), head.alias("__head"), F.col(text).alias("__text"))
+    name_1, name_2 = extract_names("__head")
+    # Names in a projection of their own, so that they are looked for once in a text and not in every block.
+    named = headed.select(*carry, "id_1", "id_2", name_1.alias("names_1"), name_2.alias("names_2"), "__text")
+    blocks = named.select("*", F.posexplode(text_blocks("__text")).alias("block", "__block")).drop("__text")
+    return extract_block(blocks.withColumn("__block", F.split("__block", "\n")), "__block", strict)
 
 
 def _whole_files(reader, path: str) -> DataFrame:
@@ -57,13 +57,24 @@ def parse_block_text(spark: SparkSession, path: str, ids: str = "file", strict:
     return parse_blocks(_addressed(_whole_files(spark.read, path), ids), strict=strict)
 
 
+# Bytes up to which a file is taken apart as one text; a compressed one is several times as long as its file.
+WHOLE_BYTES, WHOLE_PACKED = 8 << 20, 1 << 20
+PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"
+
+
+def _is_small() -> Column:
+    """Whether the file of a row is, which leaves the others unread."""
+    packed = F.col("_metadata.file_path").rlike(PACKED)
+    return F.col("_metadata.file_size") <= F.when(packed, F.lit(WHOLE_PACKED)).otherwise(F.lit(WHOLE_BYTES))
+
+
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): the lines of each file numbered from 0, however many tasks read it.
 
     Lines of a split are numbered where they are read; what the splits before it hold is
     counted first, a number per split.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    lines = spark.read.option("lineSep", "\n").text(path).filter(~_is_small()).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"),
     )
@@ -74,9 +85,9 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_block_lines(spark: SparkSession, path: str, ids: str = "file", strict: bool = True) -> DataFrame:
-    """As ``parse_block_text``, for files larger than a task: a file is read in as many splits as it has.
+    """As ``parse_block_text``, for files larger than a task too: these are read in as many splits as they have.
 
-    Every line is taken apart where it is read, by its place in its block of 8; what the lines
+    Small files are taken apart whole, where they are read, and nothing is shuffled.  Of the others every line is taken apart where it is read, by its place in its block of 8; what the lines
     of a block gave is brought together, nearly always within the task.
     """
     lines = _numbered_lines(spark, path).withColumns(
@@ -96,7 +107,8 @@ def parse_block_lines(spark: SparkSession, path: str, ids: str = "file", strict:
     names = measured(head.select("file", name_1.alias("names_1"), name_2.alias("names_2")))
     id_1, id_2 = split_ids(_address(F.col("file"), ids))
     blocks = whole.join(names, "file").select(id_1.alias("id_1"), id_2.alias("id_2"), "names_1", "names_2", "block", block.alias("__block"))
-    return extract_block(blocks, "__block", strict)
+    small = parse_blocks(_addressed(_whole_files(spark.read, path).filter(_is_small()), ids), strict=strict)
+    return small.unionByName(extract_block(blocks, "__block", strict))
 
 
 def stream_block_text(spark: SparkSession, path: str, ids: str = "file", strict: bool = True) -> DataFrame:
@@ -132,10 +144,13 @@ def format_blocks(
 
 
 def write_block_folders(df: DataFrame, path: str, ids: list[str] = ENTITY_COLUMNS, rows_per_file: int = 50_000) -> None:
-    """Write blocks into one folder per pair, files cut at block boundaries.
+    """Write blocks into one folder per pair, files cut at block boundaries and compressed.
 
-    Adaptive rebalancing gathers a pair's rows and splits an oversized pair.
+    Adaptive rebalancing gathers a pair's rows and splits an oversized pair.  Rows are rendered
+    where they are written, as a block is several times as long as its row.
     """
-    blocks = format_blocks(df, ids).select(mixture_key(*ids).alias("pair"), "text")
-    writer = blocks.hint("rebalance", "pair").write.partitionBy("pair")
+    pair = mixture_key(*ids)
+    needed = df.select(pair.alias("pair"), *dict.fromkeys([*ids, TEMPERATURE, COMPOSITION, *TARGETS]))
+    blocks = format_blocks(needed.hint("rebalance", "pair"), ids).select("pair", "text")
+    writer = blocks.write.partitionBy("pair").option("compression", "gzip")
     writer.option("maxRecordsPerFile", rows_per_file).text(path)

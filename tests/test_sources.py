@@ -1,13 +1,14 @@
 """Readers, writers, block files and incremental ingestion."""
 
 import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from pairflow.catalog.registry import Tables
 from pairflow.session import shared_dir
-from pairflow.sources import readers as r
+from pairflow.sources import blocks, readers as r
 from pairflow.sources import writers as w
 from pairflow.sources.blocks import format_blocks, parse_block_lines, parse_block_text, write_block_folders
 from pairflow.streaming.ingest import ingest_blocks_incremental
@@ -168,3 +169,31 @@ def test_split_tables_without_rows(spark, tmp_path):
     none = obs(spark).withColumn("split", F.lit("train")).filter("x1 > 5")
     data, features = w.write_split_tables(none, str(tmp_path / "s"))
     assert spark.read.parquet(data).join(spark.read.parquet(features), ["split", "row_id"]).count() == 0
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\r\ntail\r\nmore"])
+@pytest.mark.parametrize("whole", [0, 10_000, 8 << 20])
+def test_small_files_whole_and_large_ones_by_lines(spark, tmp_path, monkeypatch, end, whole):
+    monkeypatch.setattr(blocks, "WHOLE_BYTES", whole)
+    monkeypatch.setattr(blocks, "WHOLE_PACKED", whole)
+    df = spark.createDataFrame([("a", "b", float(k % 7) / 7, 300.0 + k, k / 10.0, -k / 10.0) for k in range(100)], "m1 string, m2 string, x1 double, temperature_k double, ln_gamma_1 double, ln_gamma_2 double")
+    texts = [row["text"] for row in format_blocks(df).orderBy("temperature_k").collect()]
+    for name, some in (("long", texts), ("short", texts[:3]), ("none", [])):
+        text = "\n".join(some).replace("\n", "\r\n" if "\r" in end else "\n") + end
+        (tmp_path / f"{name}__x_ct.tab").write_bytes(text.encode())
+        with gzip.open(tmp_path / f"packed-{name}__x_ct.tab.gz", "wb") as f:
+            f.write(text.encode())
+    got = parse_block_lines(spark, f"{tmp_path}/*").collect()
+    found = {n: sorted((r["block"], r["temperature_k"], r["names_2"], r["ln_gamma_2"]) for r in got if r["id_1"] == n) for n in {r["id_1"] for r in got}}
+    want = [(k, 300.0 + k, "b", -k / 10.0) for k in range(100)]
+    assert found == {"long": want, "packed-long": want, "short": want[:3], "packed-short": want[:3]}
+
+
+def test_a_text_of_many_blocks_is_gone_through_once(spark):
+    """100,000 lines of blocks in one text: cut chunk by chunk out of all lines, they took minutes."""
+    block = "\n".join(["Property", "Settings", "T= 300.00 K ; x(1)= 0.5000 ; x(2)= 0.5000 ;", "Units", "Method", "Nr", "  1 a   0.250000", "  2 b   0.500000"])
+    text = F.concat_ws("\n", F.array_repeat(F.lit(block), 12_500), F.lit("tail"))
+    files = spark.range(1).select(F.lit("a__b_ct.tab").alias("path"), text.alias("text"))
+    start = time.monotonic()
+    n, last, total = blocks.parse_blocks(files).agg(F.count("*"), F.max("block"), F.sum("ln_gamma_1")).first()
+    assert (n, last, total) == (12_500, 12_499, 3125.0) and time.monotonic() - start < 30
