@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pairflow.catalog.registry import Tables
+from pairflow.operators.sizing import measured
 
 OBS = """obs AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS row_id,
@@ -46,11 +47,13 @@ REGISTRY = """registry AS (
 
 def obs(t: Tables) -> DataFrame:
     """Pair observations: supplier nation against customer nation."""
+    buyers = measured(t.customer.select("c_custkey", "c_nationkey"))
+    sellers = measured(t.supplier.select("s_suppkey", "s_nationkey"))
+    ordered = t.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     joined = (
-        t.lineitem.repartition("l_orderkey")  # the key of the first join
-        .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        t.lineitem.repartition("l_orderkey")  # the key of the join with the orders; line items are shuffled once
+        .join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
     )
     return joined.select(
         F.concat_ws(

@@ -53,19 +53,20 @@ def write_csv_counted(df: DataFrame, path: str, index: str | None = None, mode:
     return Written(path, observation.get["row_count"])
 
 
-def write_batches(df: DataFrame, path: str, size: int, order: list[str | Column], fmt: str = "parquet", files: int | None = BATCH_FILES) -> None:
-    """Consecutive batches of at most ``size`` rows, in a column ``batch_id``.
+def write_batches(df: DataFrame, path: str, size: int, order: list[str | Column], fmt: str = "parquet", files: int | None = BATCH_FILES, compression: str | None = None) -> None:
+    """Consecutive batches of at most ``size`` rows, in a column ``batch_id``; ``compression`` is the format's own if none is named.
 
     Batches are placed by range of their number, so each lies whole in one of at most
     ``files`` files, which hold many; ``batch_files`` says which.  ``files=None`` makes a
     folder of each batch instead, whose number then grows with the table.
     """
     numbered = batch_id(row_index(df, order, "__row"), size, "__row").drop("__row")
+    named = {"header": True} | ({"compression": compression} if compression else {})
     if files is None:
-        numbered.write.partitionBy("batch_id").option("header", True).format(fmt).save(path)
+        numbered.write.partitionBy("batch_id").options(**named).format(fmt).save(path)
     else:
         placed = numbered.repartitionByRange(files, "batch_id").sortWithinPartitions("batch_id")
-        placed.write.option("header", True).format(fmt).save(path)
+        placed.write.options(**named).format(fmt).save(path)
 
 
 def batch_files(spark: SparkSession, path: str) -> DataFrame:
