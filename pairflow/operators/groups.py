@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pairflow.functions.scalars import nan_to_null
 from pairflow.operators.sizing import measured
 from pairflow.schema import GROUP_KEYS, ROW_ID
-from pairflow.session import ensure_checkpoint_dir
+from pairflow.session import stored
 
 ROWS_PER_TASK = 100_000
 
@@ -32,11 +32,10 @@ def apply_per_group(
     another length fails the whole group: all of its rows come back with NULL outputs,
     ``status`` "error" or "incomplete", and the message.
 
-    The outcome is checkpointed, so that ``fn`` runs once per row although failures
+    The outcome is stored, so that ``fn`` runs once per row although failures
     are then looked up across the parts of a group.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_TASK)).alias("__parts"))
     part = F.pmod(F.xxhash64(row_id), F.col("__parts")).cast("int")
     parted = df.join(measured(sizes), keys).withColumn("__part", part).drop("__parts")
@@ -72,7 +71,7 @@ def apply_per_group(
             yield batch.assign(**values, status=status, error=error)
 
     results = gathered.mapInPandas(run, schema)
-    results = results.withColumns({c: nan_to_null(c) for c in outputs}).checkpoint()
+    results = stored(results.withColumns({c: nan_to_null(c) for c in outputs}), "predicted")
     return _fail_whole_groups(results, keys, outputs)
 
 
