@@ -69,13 +69,16 @@ cut AS (
   SELECT doc_id, len(list_filter(lines, lambda x: trim(x) <> '')) AS n_lines,
          list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), trim(x))) AS rest
   FROM d LEFT JOIN per_site USING (source))
-SELECT doc_id, n_lines, n_lines - len(list_filter(rest, lambda x: trim(x) <> '')) AS n_dropped, sha256(array_to_string(rest, chr(10))) AS text_sha256
+SELECT doc_id, n_lines, n_lines - len(list_filter(rest, lambda x: trim(x) <> '')) AS n_dropped,
+       n_lines > 0 AND len(list_filter(rest, lambda x: trim(x) <> '')) = 0 AS whole, sha256(array_to_string(rest, chr(10))) AS text_sha256
 FROM cut
 """,
 )
 def op2(spark, folder):
+    """``whole`` marks pages of nothing but boilerplate, which end without a line."""
     done = line_dedup(table(spark, folder, "documents"))
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    whole = (F.col("n_lines") > 0) & (F.col("n_dropped") == F.col("n_lines"))
+    return done.select("doc_id", "n_lines", "n_dropped", whole.alias("whole"), F.sha2("text", 256).alias("text_sha256"))
 
 
 TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(LOWER.format("coalesce(text, '')"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairflow.llm import catalog as llm_catalog
 from pairflow.llm import components, lattice, minhash, mixing, pii, substring_dedup, toxicity
 from pairflow.llm.components import connected_components
 from pairflow.llm.decontaminate import decontaminate
@@ -543,3 +544,10 @@ def test_marginals_on_a_tree_are_exact():
         for k, l in enumerate(y):
             want[k, l] += p
     assert np.allclose(pii.marginals(graph, weights, sweeps=60), want / want.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def test_line_dedup_query_marks_pages_of_nothing_but_boilerplate(spark, tmp_path):
+    rows = [(k, "s", f"page {k}\nfooter") for k in range(3)] + [(3, "s", "footer"), (4, "s", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["whole"]) for r in llm_catalog.QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 1, False), 1: (2, 1, False), 2: (2, 1, False), 3: (1, 1, True), 4: (0, 0, False)}
