@@ -7,7 +7,11 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from pairflow.catalog.registry import Tables
-from pairflow.session import shared_dir
+from pairflow.operators.groups import apply_per_group
+from pairflow.operators.ordering import row_index
+from pairflow.plans import jobs
+from pairflow.schema import BATCH_SCHEMA
+from pairflow.session import shared_dir, stored
 from pairflow.sources import blocks, readers as r
 from pairflow.sources import writers as w
 from pairflow.sources.blocks import format_blocks, parse_block_lines, parse_block_text, write_block_folders
@@ -197,3 +201,16 @@ def test_a_text_of_many_blocks_is_gone_through_once(spark):
     start = time.monotonic()
     n, last, total = blocks.parse_blocks(files).agg(F.count("*"), F.max("block"), F.sum("ln_gamma_1")).first()
     assert (n, last, total) == (12_500, 12_499, 3125.0) and time.monotonic() - start < 30
+
+
+def test_long_tables_are_kept_packed(spark, tmp_path, plan):
+    """Block files and batches are compressed, and rows are numbered and predicted over columns, not over a checkpoint."""
+    blocks.write_block_folders(obs(spark), str(tmp_path / "f"))
+    assert list((tmp_path / "f").rglob("part-*.gz")) and not list((tmp_path / "f").rglob("part-*.txt"))
+    jobs.parse_job(spark, str(tmp_path / "f"), str(tmp_path / "b"), 2, ids="folder", compression="gzip")
+    assert r.scan_csv_batches(spark, f"{tmp_path}/b/*.csv.gz", BATCH_SCHEMA).count() == 3
+    predicted = apply_per_group(obs(spark), ["m1", "m2"], lambda key, rows: rows[["x1"]].rename(columns={"x1": "p"}), ["p"])
+    for df in (row_index(obs(spark), ["row_id"]), predicted):
+        assert "FileScan parquet" in plan(df)
+    odd = stored(spark.range(2).withColumn("nothing", F.lit(None)))
+    assert odd.count() == 2 and odd.columns == ["id", "nothing"]
